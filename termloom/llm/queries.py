@@ -9,18 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from termloom.llm.common import table
 from termloom.llm.context_tree import context_tree_scores
 from termloom.llm.jaccard_join import shingle_join
+from termloom.llm.packing import pack
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_context_tree": op2_context_tree, "op8_jaccard_join": op8_jaccard_join}
+    return {"op2_context_tree": op2_context_tree, "op5_best_fit_packing": op5_best_fit_packing, "op8_jaccard_join": op8_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
