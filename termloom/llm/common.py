@@ -152,3 +152,14 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_FOLDED[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
+def plain_text(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z lower-cased and every other ASCII byte but letters and digits turned into a blank."""
+    data, offsets = text_bytes(texts)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_FOLDED[data])])

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm.common import table
 from termloom.llm.context_tree import context_tree_scores
+from termloom.llm.decontaminate import leaks
 from termloom.llm.jaccard_join import shingle_join
 from termloom.llm.packing import pack
+from termloom.llm.quality import quality_scores
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -30,8 +36,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_context_tree": op2_context_tree, "op5_best_fit_packing": op5_best_fit_packing, "op8_jaccard_join": op8_jaccard_join}
+    found = (op2_context_tree, op3_quality_gam, op5_best_fit_packing, op8_jaccard_join, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
