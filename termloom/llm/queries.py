@@ -10,10 +10,15 @@ from termloom.llm.common import table
 from termloom.llm.context_tree import context_tree_scores
 from termloom.llm.decontaminate import leaks
 from termloom.llm.jaccard_join import shingle_join
+from termloom.llm.language_id import languages
 from termloom.llm.packing import pack
 from termloom.llm.quality import quality_scores
 
 
+def op1_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"), folds=5, held=0)
+
+
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, held=2)
 
@@ -41,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_context_tree, op3_quality_gam, op5_best_fit_packing, op8_jaccard_join, op10_decontamination)
+    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op8_jaccard_join, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
