@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.llm import cascade
 from termloom.llm.common import table
 from termloom.llm.context_tree import context_tree_scores
 from termloom.llm.decontaminate import leaks
@@ -37,6 +38,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
 
 
+def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.measured_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -46,9 +51,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op8_jaccard_join, op10_decontamination)
+    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_rule_cascade": cascade.ORACLE}
