@@ -12,6 +12,7 @@ from termloom.llm.context_tree import context_tree_scores
 from termloom.llm.decontaminate import leaks
 from termloom.llm.jaccard_join import shingle_join
 from termloom.llm.language_id import languages
+from termloom.llm.licenses import licenses
 from termloom.llm.packing import pack
 from termloom.llm.quality import quality_scores
 
@@ -46,12 +47,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op10_decontamination)
+    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op9_license_scan, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
