@@ -33,7 +33,9 @@ _CACHE_WORDS = 200_000
 class WordCoder:
     """Ids of texts whose pre-tokenizer never joins across ASCII white space: each distinct word is encoded once.
 
-    Holds the last 200,000 to 400,000 distinct words.
+    A word of plain letters with a full stop or comma is two pieces for the pre-tokenizer, so the letters are looked up
+    alone. New words of plain letters are encoded together, as a text with blanks, and parted where a piece ends. The
+    ids of up to 400,000 distinct words are held, then all are forgotten.
     """
 
     def __init__(self, path: str):
@@ -42,38 +44,80 @@ class WordCoder:
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.young) > _CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        words = [w.lower() if w.isascii() else w for w in words]  # the coder lowers after composing, so only ASCII may be lowered before
-        for w in dict.fromkeys(words):
-            if w not in young:
-                if (known := old.get(w)) is not None:
-                    young[w] = known
-                else:
-                    missing.append(w)
-        for w, e in zip(missing, self.coder.encode_batch_fast(missing, add_special_tokens=False)):
-            young[w] = np.array(e.ids, dtype=np.uint32)
-        return [young[w] for w in words]
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parted = bool(self.ends.any())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.size = np.zeros(_CACHE_WORDS * 2, np.int64), np.zeros(_CACHE_WORDS * 2, np.int64)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, slots = self.used, len(self.slot)
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if slots + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), len(words)), np.int64)]) for x in (self.start, self.size))
+        self.flat[at : at + len(ids)] = ids
+        self.start[slots : slots + len(words)] = at + np.cumsum(sizes) - sizes
+        self.size[slots : slots + len(words)] = sizes
+        self.slot.update(zip(words, range(slots, slots + len(words))))
+        self.used = at + len(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.parted and w.isalpha() and max(w) < "\u0180"]
+        for lo in range(0, len(plain), 5000):
+            some = plain[lo : lo + 5000]
+            ids = np.array(self.coder.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some) or len(ids) != last[-1] + 1:
+                words = [*words, *some]  # not one piece a word: encoded alone below
+                continue
+            self._keep(some, ids, np.diff(last, prepend=-1))
+        rest = [w for w in dict.fromkeys(words) if w not in self.slot]
+        if rest:
+            found = [e.ids for e in self.coder.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.array([i for f in found for i in f], dtype=np.uint32), np.array([len(f) for f in found], dtype=np.int64))
+
+    def slots_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words, and of the full stops and commas taken off them (0: none)."""
+        if len(self.slot) > 2 * _CACHE_WORDS:
+            self._forget()
+        # the coder lowers after composing, so only ASCII may be lowered before
+        words = [w.lower() if w.isascii() else w for w in words]
+        tail = [w[-1] if w[-1] in ".," and w[:-1].isalpha() and max(w) < "\u0180" else "" for w in words]
+        head = [w[:-1] if t else w for w, t in zip(words, tail)]
+        slot = self.slot
+        self._learn([w for w in dict.fromkeys([*head, ".", ","]) if w not in slot])
+        n = len(words)
+        return np.fromiter(map(slot.__getitem__, head), np.int64, n), np.fromiter(map(slot.__getitem__, tail), np.int64, n)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and len(texts)+1 offsets."""
         words, first = split_words(texts)
         coded = words.dictionary_encode()
-        known = self.ids_of(coded.dictionary.to_pylist())
-        flat = np.concatenate([*known, np.array([END_ID], np.uint32)])
-        sizes = np.array([*map(len, known), 1], dtype=np.int64)
+        known = len(coded.dictionary)
+        head, tail = self.slots_of(coded.dictionary.to_pylist())
+        pieces = np.column_stack([head, tail]).ravel()
+        table = np.append(ragged(self.flat, self.start[pieces], self.size[pieces]), np.uint32(END_ID))
+        sizes = np.append(self.size[head] + self.size[tail], 1)
         starts = np.cumsum(sizes) - sizes
-        place = np.insert(np.asarray(coded.indices).astype(np.int64), first[1:], len(known))
+        place = np.insert(np.asarray(coded.indices), first[1:], known)
         length = sizes[place]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(starts[place] - (ends - length), length) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends[first[1:] + np.arange(len(first) - 1)]])
+        ids = ragged(table, starts[place], length)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return ids, ends[np.concatenate([[0], first[1:] + np.arange(1, len(first))])]
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[i]:starts[i]+sizes[i]], one after another."""
+    ends = np.cumsum(sizes)
+    at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 _CODERS: dict[str, WordCoder] = {}
