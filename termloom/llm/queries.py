@@ -15,6 +15,7 @@ from termloom.llm.language_id import languages
 from termloom.llm.licenses import licenses
 from termloom.llm.packing import pack
 from termloom.llm.quality import quality_scores
+from termloom.llm.site_style import extract
 
 
 def op1_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
 
 
+def op4_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.measured_verdicts(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op9_license_scan, op10_decontamination)
+    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op4_site_style, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op9_license_scan, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
