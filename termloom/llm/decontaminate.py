@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, batch_of, column, cut, plain_text, slices, split_words
+from termloom.llm.common import arrow_map, batch_of, column, cut, plain_text, slices, small, split_words
 
 #: Bytes of test items that are searched for at once.
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -196,8 +196,6 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.4, flo
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that leaks() names; rows with null ids stay."""
-    from termloom.llm.common import small
-
     id_col = options.get("id_col", "doc_id")
     bad = cut(leaks(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(small(bad, 16), F.col(id_col) == F.col("_leaked"), "left_anti")
+    return docs.join(small(bad, 16), F.col(id_col).cast("long") == F.col("_leaked"), "left_anti")

@@ -262,3 +262,16 @@ def quality_scores(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     docs = docs.withColumn("held_out", crc_fold("id", folds) == held)
     return arrow_map(docs, partial(_score, shared=shared, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _accept(batches: Iterator[pa.RecordBatch], shared, threshold: float, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, text_col):
+        yield batch.filter(pa.array(shared.value.score(features(texts)) >= threshold))
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs, all columns, whose score is threshold or more; rows with a null id or text are scored like others."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, label_col, sample, id_col, text_col))
+    return arrow_map(docs, partial(_accept, shared=shared, threshold=threshold, text_col=text_col), docs.schema)

@@ -16,6 +16,7 @@ from termloom.llm.licenses import licenses
 from termloom.llm.packing import pack
 from termloom.llm.quality import quality_scores
 from termloom.llm.site_style import extract
+from termloom.llm.surrogates import surrogate_texts
 
 
 def op1_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,14 @@ def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.measured_verdicts(table(spark, sf_dir, "documents"))
 
 
+#: Stands for the secret that a deployment passes.
+PRIVACY_KEY = "termloom-demonstration-key"
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_texts(table(spark, sf_dir, "documents"), PRIVACY_KEY)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -61,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op4_site_style, op5_best_fit_packing, op6_rule_cascade, op8_jaccard_join, op9_license_scan, op10_decontamination)
+    found = (op1_language_ecoc, op2_context_tree, op3_quality_gam, op4_site_style, op5_best_fit_packing, op6_rule_cascade, op7_surrogates, op8_jaccard_join, op9_license_scan, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
