@@ -13,6 +13,8 @@ from termloom.llm.common import arrow_map, batch_of, column, cut, drop_cut
 
 #: Links that a task folds at once.
 FOLD_ROWS = 1_000_000
+#: Tasks that the links of one node are dealt to.
+SALTS = 32
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # links hang on roots, whose rows stay as they are; only other ends look up theirs, salted
+        moved = least.where("m < u").select(F.col("u").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        large = now.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS))).join(moved, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = cut(arrow_map(small_star.distinct(), _fold, "a long, b long"))

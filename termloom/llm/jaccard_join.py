@@ -1,11 +1,13 @@
 """N-gram Jaccard join by PartEnum signatures, with exact verification inside candidate clusters.
 
 A document is the set of its distinct n-word shingles. Set sizes are cut into bands, band i being [l, l / similarity].
-For sets of two neighbouring bands that reach the similarity the Hamming distance is at most k; the feature domain is
-hashed into n1 = ceil((k + 1) / 2) partitions, so one of them differs in at most one shingle, and each partition into
-three parts, so two of its parts agree entirely. Every pair of parts gives one signature: sets that reach the similarity
-share at least one. Documents that share signatures form candidate clusters; each cluster is verified exactly, block
-against block, and only links that reach the similarity count.
+For sets of two neighbouring bands that reach the similarity the Hamming distance is at most k. Every pair of neighbouring
+bands hashes the feature domain into n1 = k + 1 + m partitions, m half of k + 1, and the subsets enumerated are single
+partitions: sets within distance k agree in m + 1 partitions at least. A set signs with its k + 1 most telling partitions
+only. Of the m + 1 that two such sets share, the most telling one stands above m others in both, so both sign with it.
+A partition tells as much as it holds shingles that are not among the most frequent; partitions without any, which
+unrelated sets share, are so left out. Documents that share signatures form candidate clusters; each cluster is verified
+exactly, block against block, and only links that reach the similarity count.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from termloom.llm.components import components, forest
 BLOCK = 1024
 #: Shingles in the columns of one product.
 WIDTH = 4096
+#: Frequent shingles that every task knows.
+COMMON = 1 << 16
 
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +71,8 @@ def bands(largest: int, num: int, den: int) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def signatures(x: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of the sets x[first[i]:first[i+1]] and the set of each."""
+def signatures(x: np.ndarray, first: np.ndarray, num: int, den: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of the sets x[first[i]:first[i+1]] and the set of each; common: sorted shingles that tell little."""
     size = np.diff(first)
     full = np.flatnonzero(size)
     if not len(full):
@@ -76,34 +80,46 @@ def signatures(x: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np
     ends = bands(int(size.max()), num, den)
     band = np.searchsorted(ends, size[full], side="left")
     owner = np.repeat(np.arange(len(full)), size[full])
+    telling = np.ones(len(x), bool)
+    if len(common):
+        telling = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] != x
     out, sets = [], []
-    for step in (0, 1):
-        instance = band + step
-        k = (den - num) * 2 * ends[instance] // (den + num)
-        n1 = k // 2 + 1  # ceil((k + 1) / 2); with k = 0 one partition, compared whole
-        base = np.concatenate([[0], np.cumsum(3 * n1)])
+    for instance in (band, band + 1):
+        need = (den - num) * 2 * ends[instance] // (den + num) + 1
+        parts = need + need // 2
+        base = np.concatenate([[0], np.cumsum(parts)])
         seed = mix(instance.astype(np.uint64) * ODD + np.uint64(1))
-        cell = mix(x ^ seed[owner]) % (3 * n1).astype(np.uint64)[owner]
+        cell = base[owner] + (mix(x ^ seed[owner]) % parts.astype(np.uint64)[owner]).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, base[owner] + cell.astype(np.int64), mix(x + ODD))
-        parts = sums.reshape(-1, 3)
-        row = np.repeat(np.arange(len(full)), n1)
-        place = np.arange(len(row)) - base[row] // 3
-        tag = mix(seed[row] + place.astype(np.uint64) * ODD)
-        for q, (u, v) in enumerate(((0, 1), (0, 2), (1, 2))):
-            whole = k[row] == 0
-            if q:
-                use = ~whole
-                sig = mix(mix(parts[use, u] + tag[use]) ^ (parts[use, v] * ODD + np.uint64(q)))
-                sets.append(full[row[use]])
-            else:
-                extra = np.where(whole, parts[:, 2] * np.uint64(0xD6E8FEB86659FD93), np.uint64(0))
-                sig = mix(mix(parts[:, u] + tag) ^ (parts[:, v] * ODD + extra))
-                sets.append(full[row])
-            out.append(sig)
+        np.add.at(sums, cell, mix(x + ODD))
+        row = np.repeat(np.arange(len(full)), parts)
+        place = np.arange(len(row)) - base[row]
+        sig = mix(sums + mix(seed[row] + place.astype(np.uint64) * ODD))
+        weight = np.bincount(cell, weights=telling, minlength=base[-1]) * 4096 + (mix(sig) >> np.uint64(52)).astype(np.float64)
+        order = np.lexsort((-weight, row))
+        best = order[np.arange(len(order)) - base[row[order]] < need[row[order]]]
+        out.append(sig[best])
+        sets.append(full[row[best]])
     return np.concatenate(out), np.concatenate(sets)
 
 
+_SEEN = pa.schema([("shingle", pa.int64()), ("sets", pa.int64())])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that three texts of a slice or more hold."""
+    for _, texts in slices(batches):
+        values, count = np.unique(shingle_hashes(texts, n)[0], return_counts=True)
+        often = count > 2
+        yield batch_of(_SEEN, values[often].view(np.int64), count[often])
+
+
+def common_shingles(docs: DataFrame, n: int, most: int = COMMON) -> np.ndarray:
+    """The `most` most frequent shingles of docs(text) among those that repeat within a task's slices, sorted."""
+    seen = arrow_map(docs.select("text"), partial(_frequent, n=n), "shingle long, sets long").groupBy("shingle").agg(F.sum("sets").alias("sets"))
+    return np.sort(np.array(seen.orderBy(F.desc("sets"), "shingle").limit(most).select("shingle").toArrow()["shingle"].to_numpy(), dtype=np.int64).view(np.uint64))
+
+
 _SIGNED = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("more", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -116,7 +132,7 @@ def _grouped(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, at, np.repeat(least, np.diff(np.append(at, len(sig))))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets: int, common) -> Iterator[pa.RecordBatch]:
     """Packed rows: a document's set hash, size and second hash, and one row a bucket of signatures with ids.
 
     Equal sets of a slice sign once. Signatures that several sets of a slice share go out once, with the smallest id;
@@ -132,7 +148,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
         unique = np.sort(unique[size[unique] > 0])
         keep = np.zeros(len(size), bool)
         keep[unique] = True
-        sig, owner = signatures(x[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[unique])]), num, den)
+        sig, owner = signatures(x[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[unique])]), num, den, common.value)
         owner = ids[unique][owner]
         order, at, pivot = _grouped(sig, owner)
         sig, owner = sig[order], owner[order]
@@ -272,7 +288,8 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     spark = docs.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * width), "bucket int, sigs binary, ids binary, sizes binary, more binary")
+    common = spark.sparkContext.broadcast(common_shingles(docs, n))  # COMMON numbers
+    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * width, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
     found = cut(arrow_map(signed.repartition(width, "bucket"), _meet, "kind int, a long, b long, n long"))
     same = found.where("kind = 1").select("a", "b")
     clusters = components(found.where("kind < 2").select("a", "b"))
