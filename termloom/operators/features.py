@@ -28,7 +28,7 @@ def _co_occurrence(index: Index, keyed: DataFrame, best: DataFrame, prefix: str)
 
 
 def concept_features(index: Index, terms: DataFrame, concepts: DataFrame, run: DataFrame, feedback: int = 10) -> DataFrame:
-    """qid, concept and the FEATURES (6 decimals) of concepts(qid, concept), terms(qid, idx, term) and run(qid, doc_id, rank, score).
+    """qid, concept and the FEATURES (10 decimals) of concepts(qid, concept), terms(qid, idx, term) and run(qid, doc_id, rank, score).
 
     All are absolute values; what has no occurrence counts 0. Averages go over all query terms or all pairs of them.
     """
@@ -44,7 +44,7 @@ def concept_features(index: Index, terms: DataFrame, concepts: DataFrame, run: D
     near = best.select("qid", "doc_id")
     out = concepts.join(whole, "qid", "left").join(inside, ["qid", "concept"], "left").join(cf, "concept", "left").join(index.totals().select("n_docs"))
     out = out.join(_co_occurrence(index, with_term, near, ""), ["qid", "concept"], "left").join(_co_occurrence(index, with_pair, near, "P"), ["qid", "concept"], "left")
-    zero = lambda c: F.round(F.abs(F.coalesce(c, F.lit(0)).cast("double")), 6)
+    zero = lambda c: F.round(F.abs(F.coalesce(c, F.lit(0)).cast("double")), 10)
     own = {
         "expTDocScore": F.col("first"),
         "topTermFrac": F.try_divide(F.col("occ"), F.col("size")),
@@ -73,7 +73,7 @@ def min_max(features: DataFrame, columns: tuple[str, ...], by: str = "qid", digi
     return features.withColumns({c: scaled(c) for c in columns})
 
 
-def combined(features: DataFrame, weights: dict[str, float], digits: int = 8) -> DataFrame:
+def combined(features: DataFrame, weights: dict[str, float], digits: int = 10) -> DataFrame:
     """qid, concept, score: the weighted sum of the named columns."""
     total = sum((F.lit(float(w)) * F.col(c) for c, w in weights.items()), F.lit(0.0))
     return features.select("qid", "concept", F.round(total, digits).alias("score"))

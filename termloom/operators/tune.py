@@ -23,7 +23,7 @@ def draws(spark: SparkSession, names: Sequence[str], count: int, seed: int = 0)
     return spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(values)], ", ".join(["point long", *(f"{a} double" for a in names)]))
 
 
-def weighted(features: DataFrame, points: DataFrame, names: Sequence[str], digits: int = 8) -> DataFrame:
+def weighted(features: DataFrame, points: DataFrame, names: Sequence[str], digits: int = 10) -> DataFrame:
     """point, qid, concept, score of every point's weights: a few points, so each feature row meets all of them."""
     score = sum((F.col(f"features.{n}") * F.col(f"points.{n}") for n in names), F.lit(0.0))
     return features.alias("features").join(points.alias("points")).select("point", "qid", "concept", F.round(score, digits).alias("score"))

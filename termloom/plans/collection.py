@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.operators import graph, index, query, rank, windows
+from termloom.operators.settle import settled
 
 LOW, HIGH, TITLE_TERMS, LEAST_LETTERS = 5, 100, 3, 4
 
@@ -19,6 +20,12 @@ def collection(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def stored_collection(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The collection with its tokens written once, for plans that read them several times."""
+    ix = collection(spark, sf_dir)
+    return index.Index(settled(ix.tokens), settled(ix.lengths))
+
+
 def topic_terms(spark: SparkSession, sf_dir: str, ix: index.Index) -> DataFrame:
     """qid, idx from 1, term: the first three of an item's terms with four letters or more that 5 to 100 documents hold."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
@@ -26,7 +33,7 @@ def topic_terms(spark: SparkSession, sf_dir: str, ix: index.Index) -> DataFrame:
     df = ix.frequencies().join(first.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     order = Window.partitionBy("qid").orderBy("pos", "term")
     good = first.join(df.where(F.col("df").between(LOW, HIGH)), "term").withColumn("idx", F.row_number().over(order))
-    return good.where(F.col("idx") <= TITLE_TERMS).select("qid", F.col("idx").cast("long").alias("idx"), "term")
+    return settled(good.where(F.col("idx") <= TITLE_TERMS).select("qid", F.col("idx").cast("long").alias("idx"), "term"))
 
 
 def title_leaves(terms: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.operators import analytics, evaluate, features, graph, query, rank, tune, windows
-from termloom.plans.collection import collection, edges, judgments, sql, table, title_leaves, title_run, topic_terms
+from termloom.operators.settle import settled
+from termloom.plans.collection import edges, judgments, sql, table, title_leaves, title_run, topic_terms
+from termloom.plans.collection import stored_collection as collection
 
 
 def _title_array(terms: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def feedback_rank(spark: SparkSession, d: str) -> DataFrame:
     ix = collection(spark, d)
     terms = topic_terms(spark, d, ix)
     leaves = title_leaves(terms)
-    return rank.rank(ix, rank.with_feedback(leaves, rank.feedback_terms(ix, rank.rank(ix, leaves, 28), 28, 30)), 10)
+    return rank.rank(ix, rank.with_feedback(leaves, settled(rank.feedback_terms(ix, rank.rank(ix, leaves, 28), 28, 30))), 10)
 
 
 def assoc_graph_pmi(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +121,7 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def two_hop_neighbours(spark: SparkSession, d: str) -> DataFrame:
     ix = collection(spark, d)
     terms = topic_terms(spark, d, ix)
-    return graph.hops(terms, edges(ix, terms), 2).withColumn("layer", F.col("layer").cast("long"))
+    return graph.hops(terms, settled(edges(ix, terms)), 2).withColumn("layer", F.col("layer").cast("long"))
 
 
 def term_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -132,8 +134,8 @@ def _concepts(spark: SparkSession, d: str):
     ix = collection(spark, d)
     terms = topic_terms(spark, d, ix)
     near = graph.neighbours(terms, edges(ix, terms)).select("qid", "concept").distinct()
-    near = near.join(terms.select("qid", F.col("term").alias("concept")), ["qid", "concept"], "left_anti")
-    return ix, terms, features.concept_features(ix, terms, near, title_run(ix, terms, 10))
+    near = settled(near.join(terms.select("qid", F.col("term").alias("concept")), ["qid", "concept"], "left_anti"))
+    return ix, terms, settled(features.concept_features(ix, terms, near, settled(title_run(ix, terms, 10))))
 
 
 def concept_features(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +155,7 @@ WEIGHTS = {"topTermFrac": 0.2, "numCanDocs": 0.1, "conIdf": 0.3, "avgColCor": 0.
 
 def _scored(spark: SparkSession, d: str):
     ix, terms, found = _concepts(spark, d)
-    return ix, terms, features.combined(features.sum_to_one(found, features.FEATURES), WEIGHTS)
+    return ix, terms, settled(features.combined(features.sum_to_one(found, features.FEATURES), WEIGHTS))
 
 
 def weighted_combine(spark: SparkSession, d: str) -> DataFrame:
@@ -309,11 +311,11 @@ twoc AS (SELECT o.qid, o.concept, o.t, o.u, coalesce(sum(o.m), 0) AS n, count(b.
 pcor AS (SELECT qid, concept, avg(n) AS a, max(n) AS b, avg(near) AS c, max(near) AS d FROM twoc GROUP BY qid, concept),
 feats AS (SELECT n.qid, n.concept, {{}} FROM near n LEFT JOIN whole w ON w.qid = n.qid LEFT JOIN inside i ON i.qid = n.qid AND i.concept = n.concept LEFT JOIN voc v ON v.term = n.concept LEFT JOIN cor c ON c.qid = n.qid AND c.concept = n.concept LEFT JOIN pcor q ON q.qid = n.qid AND q.concept = n.concept, tot)"""
 _VALUES = ("w.first", "i.occ / CAST(w.size AS DOUBLE)", "i.docs", "i.mean", "i.largest", "ln(n_docs / CAST(greatest(coalesce(v.cf, 0), 1) AS DOUBLE))", "c.a", "c.b", "c.c", "c.d", "q.a", "q.b", "q.c", "q.d")
-_FEATS = _FEATURES.format(", ".join(f'round(abs(CAST(coalesce({v}, 0) AS DOUBLE)), 6) AS "{f}"' for v, f in zip(_VALUES, features.FEATURES)))
+_FEATS = _FEATURES.format(", ".join(f'round(abs(CAST(coalesce({v}, 0) AS DOUBLE)), 10) AS "{f}"' for v, f in zip(_VALUES, features.FEATURES)))
 _ONE = ", ".join(f'round(CASE WHEN sum("{f}") OVER g <> 0 THEN "{f}" / sum("{f}") OVER g ELSE 0.0 END, 8) AS "{f}"' for f in features.FEATURES)
 _MM = ", ".join(f'round(CASE WHEN max("{f}") OVER g <> min("{f}") OVER g THEN ("{f}" - min("{f}") OVER g) / (max("{f}") OVER g - min("{f}") OVER g) ELSE 0.0 END, 8) AS "{f}"' for f in features.FEATURES)
 _SUM = " + ".join(f'{w} * "{f}"' for f, w in WEIGHTS.items())
-_SCORED = f"{_FEATS}, normed AS (SELECT qid, concept, {_ONE} FROM feats WINDOW g AS (PARTITION BY qid)), scored2 AS (SELECT qid, concept, round({_SUM}, 8) AS score FROM normed), ranked AS (SELECT qid, concept, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, concept) AS rank FROM scored2)"
+_SCORED = f"{_FEATS}, normed AS (SELECT qid, concept, {_ONE} FROM feats WINDOW g AS (PARTITION BY qid)), scored2 AS (SELECT qid, concept, round({_SUM}, 10) AS score FROM normed), ranked AS (SELECT qid, concept, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, concept) AS rank FROM scored2)"
 _CHOSEN = f"{_SCORED}, chosen AS (SELECT * FROM ranked WHERE rank <= 5)"
 _LAYERS = f"{_CHOSEN}, layers AS (SELECT qid, 0 AS layer, 0.7 AS weight, string_agg(term, ' ' ORDER BY idx) AS words FROM topics GROUP BY qid UNION ALL SELECT qid, 1, 0.3, string_agg(concept, ' ' ORDER BY rank) FROM chosen GROUP BY qid)"
 _DEPTHS = ", ".join(f"round(CAST(sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) AS DOUBLE) / {k}, 6) AS P_{k}" for k in evaluate.DEPTHS)
@@ -335,7 +337,7 @@ _MEANS = [c.replace(".", "_") for c in evaluate.metric_names() if c not in evalu
 _SUMMARY = "count(*) AS num_q, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in evaluate.COUNTS) + ", " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _MEANS) + ", round(exp(avg(ln(greatest(map, 1e-5)))), 6) AS gm_map"
 _GRID = sql("qrel", f"""s1 AS (SELECT t.qid, tf.doc_id, round(ln((tf.tf + 1600.0 * p.p) / (l.len + 1600.0)), 6) AS s1 FROM topics t JOIN tf ON tf.term = t.term JOIN prob p ON p.term = t.term JOIN lens l ON l.doc_id = tf.doc_id WHERE t.idx = 1),
 points AS (SELECT row_number() OVER (ORDER BY c0, c1) - 1 AS point, c0, c1 FROM (SELECT unnest([0.2, 0.5, 0.8]) AS c0), (SELECT unnest([0.0, 0.3, 0.6]) AS c1)),
-pscored AS (SELECT point, s.qid, s.doc_id, round((CAST(c0 AS DOUBLE) * s.score + CAST(c1 AS DOUBLE) * s1.s1) / (CAST(c0 AS DOUBLE) + CAST(c1 AS DOUBLE)), 6) AS score FROM scored s JOIN s1 ON s1.qid = s.qid AND s1.doc_id = s.doc_id, points),
+pscored AS (SELECT point, s.qid, s.doc_id, round((CAST(c0 AS DOUBLE) * s.score + CAST(c1 AS DOUBLE) * s1.s1) / (CAST(c0 AS DOUBLE) + CAST(c1 AS DOUBLE)), 10) AS score FROM scored s JOIN s1 ON s1.qid = s.qid AND s1.doc_id = s.doc_id, points),
 pruns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point, qid ORDER BY score DESC, doc_id) AS rank FROM pscored) WHERE rank <= 1000),
 {_per_topic('pruns', 'r.point, r.qid')},
 sums AS (SELECT p.point, CAST(p.c0 AS DOUBLE) AS c0, CAST(p.c1 AS DOUBLE) AS c1, x.num_q, x.map, x.P_5 FROM points p JOIN (SELECT point, {_SUMMARY} FROM per GROUP BY point) x USING (point))
