@@ -197,5 +197,5 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.4, flo
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that leaks() names; rows with null ids stay."""
     id_col = options.get("id_col", "doc_id")
-    bad = cut(leaks(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(small(bad, 16), F.col(id_col).cast("long") == F.col("_leaked"), "left_anti")
+    bad = small(cut(leaks(docs, items, **options).select("doc_id").distinct()), 16)
+    return docs.join(bad, docs[id_col].cast("long") == bad["doc_id"], "left_anti")

@@ -317,5 +317,5 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose component has a smaller id; rows with a null id stay."""
     classes = shingle_join(docs, n, num, den, id_col, text_col)
-    again = cut(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("_again")))
-    return docs.join(small(again, 16), F.col(id_col).cast("long") == F.col("_again"), "left_anti")
+    again = small(cut(classes.where("component_id <> doc_id").select("doc_id")), 16)
+    return docs.join(again, docs[id_col].cast("long") == again["doc_id"], "left_anti")
