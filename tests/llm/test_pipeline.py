@@ -2,9 +2,7 @@
 
 import random
 
-import pytest
-
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
 
 
 def test_stages(spark, tmp_path):
