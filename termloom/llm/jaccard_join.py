@@ -30,6 +30,8 @@ BLOCK = 1024
 WIDTH = 4096
 #: Frequent shingles that every task knows.
 COMMON = 1 << 16
+#: Tasks in which signatures meet, at least. A document has a candidate link in each of them at most.
+MEETS = 64
 
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,10 +289,11 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     """
     spark = docs.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meets = max(width, MEETS)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     common = spark.sparkContext.broadcast(common_shingles(docs, n))  # COMMON numbers
-    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * width, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
-    found = cut(arrow_map(signed.repartition(width, "bucket"), _meet, "kind int, a long, b long, n long"))
+    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * meets, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
+    found = cut(arrow_map(signed.repartition(meets, "bucket"), _meet, "kind int, a long, b long, n long"))
     same = found.where("kind = 1").select("a", "b")
     clusters = components(found.where("kind < 2").select("a", "b"))
     grown = same.groupBy(F.col("b").alias("id")).agg((F.count("*") + 1).alias("copies"))
