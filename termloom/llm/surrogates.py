@@ -162,9 +162,11 @@ def _name(entity: Column, key: str, attempt: Column) -> Column:
 
 
 def surrogate(entity: Column, kind_: Column, key: str, attempt: Column) -> Column:
-    """The entity's replacement, spelled like the entity."""
-    known = canonical(entity, kind_)
+    """The entity's replacement, spelled like the entity. Its kind should be a plain column or variable: it stands in many places."""
+    return _let(canonical(entity, kind_), lambda known: _drawn(entity, kind_, known, key, attempt))
 
+
+def _drawn(entity: Column, kind_: Column, known: Column, key: str, attempt: Column) -> Column:
     def drawn(digest: Column) -> Column:
         whole = _characters(entity, lambda c, i: _like(c, _byte(digest, i)))
         hexadecimal = _characters(entity, lambda c, i: _like(c, _byte(digest, i), True))
@@ -202,7 +204,7 @@ def redrawn(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """
     drawn = cut(found.select("kind", "known", F.lit(0).alias("attempt")))
     for _ in range(rounds):
-        made = drawn.withColumn("made", F.transform(F.array("known"), lambda e: canonical(surrogate(e, F.col("kind"), key, F.col("attempt")), F.col("kind")))[0])
+        made = drawn.withColumn("made", _let(surrogate(F.col("known"), F.col("kind"), key, F.col("attempt")), lambda s: canonical(s, F.col("kind"))))
         made = cut(made)
         first = made.groupBy("kind", "made").agg(F.min("known").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "made", "first")
         meets = made.join(first, ["kind", "made"]).where("known <> first").select("kind", "known")
@@ -238,11 +240,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         rows = again.collect()  # `listed` at most
 
         def one(e: Column) -> Column:
-            k = kind(e)
+            return _let(kind(e), lambda k: of_kind(e, k))
+
+        def of_kind(e: Column, k: Column) -> Column:
             if not rows:
                 return surrogate(e, k, key, F.lit(0))
             table = F.create_map(*[F.lit(x) for r in rows for x in (f"{r.kind}\x1f{r.known}", r.attempt)])
-            return surrogate(e, k, key, F.coalesce(table[F.concat(k, F.lit("\x1f"), canonical(e, k))], F.lit(0)))
+            return _let(F.coalesce(table[F.concat(k, F.lit("\x1f"), canonical(e, k))], F.lit(0)), lambda attempt: surrogate(e, k, key, attempt))
 
         return docs.withColumns(counted).withColumn(text_col, F.when(F.size("_found") > 0, replaced(F.col(text_col), F.transform("_found", one))).otherwise(F.col(text_col))).drop("_found")
     each = docs.where(F.size("_found") > 0).select(F.col(id_col).alias("_id"), F.posexplode("_found").alias("_at", "entity")).withColumn("kind", kind(F.col("entity")))
