@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def _trimmed(value, pattern: str):
-    return F.trim(F.regexp_extract(value, pattern, 1))
+    return F.regexp_replace(F.regexp_extract(value, pattern, 1), r"^\s+|\s+$", "")
 
 
 def sgml_topics(spark: SparkSession, path: str) -> DataFrame:
