@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
 
-Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. A first pass counts in how many documents each n-gram
-of the test items occurs; an item's seeds are its n-grams whose count is at most RARE times the median of those that
-occur at all, so that a copied passage keeps its seeds however often it was copied. A second pass aligns the item with
-the words around each seed. Test items go in blocks of bounded size, each against all documents.
+Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. Every n-gram of a test item is a seed, however many documents
+hold it, so that no repeated passage loses its seeds. What the words of a document and an item allow at most is
+reckoned before they are aligned; only pairs that cannot reach the score are left out by that. Test items go in blocks
+of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, batch_of, column, cut, plain_text, slices, small, split_words
+from termloom.llm.common import arrow_map, batch_of, column, cut, plain_text, runs, slices, small, split_words
 
 #: Bytes of test items that are searched for at once.
 BLOCK_BYTES = 8 * 1024 * 1024
-#: An item's seeds are in at most so many times as many documents as its median n-gram, or in so few documents.
-RARE, FEW = 4, 4
+#: Pairs of hit and item that are worked on at once (those of one document at least).
+PAIRS = 1 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 
 
@@ -40,7 +40,10 @@ class Items:
         self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(size) - size, size)
         code = self._codes(self.words, self.first[:-1][self.item] + self.place)
         self.codes, self.seed = np.unique(code, return_inverse=True)
-        self._sort()
+        # places of each seed: rows seed_first[s]:seed_first[s+1] of seed_item and seed_place
+        order = np.argsort(self.seed, kind="stable")
+        self.seed_item, self.seed_place = self.item[order], self.place[order]
+        self.seed_first = np.searchsorted(self.seed[order], np.arange(len(self.codes) + 1))
 
     def _codes(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One number for the n words from each place: hashed pairwise, so that any vocabulary fits."""
@@ -50,24 +53,10 @@ class Items:
             out ^= out >> np.uint64(29)
         return out
 
-    def _sort(self) -> None:
-        """Places of each seed: rows seed_first[s]:seed_first[s+1] of seed_item and seed_place."""
-        order = np.argsort(self.seed, kind="stable")
-        self.seed_item, self.seed_place = self.item[order], self.place[order]
-        self.seed_first = np.searchsorted(self.seed[order], np.arange(len(self.codes) + 1))
-
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """Keeps the seeds that occur, per item at most RARE times as often as the item's median, or in FEW documents."""
-        count = documents[self.seed]
-        keep = np.zeros(len(count), bool)
-        for lo, hi in zip(*(np.searchsorted(self.item, np.arange(len(self.ids)), side=s) for s in ("left", "right"))):
-            own = count[lo:hi]
-            if (own > 0).any():
-                keep[lo:hi] = (own > 0) & (own <= max(FEW, RARE * np.median(own[own > 0])))
-        codes = self.codes[self.seed[keep]]
-        self.item, self.place = self.item[keep], self.place[keep]
-        self.codes, self.seed = np.unique(codes, return_inverse=True)
-        self._sort()
+    def words_of(self, items: np.ndarray) -> np.ndarray:
+        """Words of the items, one item after another."""
+        size = (self.first[1:] - self.first[:-1])[items]
+        return self.words[np.repeat(self.first[:-1][items] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words of the texts as numbers (0: in no item), first words, and document, word place and seed of each hit."""
@@ -121,47 +110,78 @@ def windows(starts: np.ndarray, length: int, limit: int) -> list[tuple[int, int]
     return [tuple(x) for x in out]
 
 
-def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Documents of a task that hold each n-gram."""
-    items: Items = shared.value
-    total = np.zeros(len(items.codes), np.int64)
-    for _, texts in slices(batches):
-        _, _, doc, _, seed = items.hits(texts)
-        total += np.bincount(np.unique(doc * max(len(items.codes), 1) + seed) % max(len(items.codes), 1), minlength=len(items.codes))
-    some = np.flatnonzero(total)
-    yield batch_of(pa.schema([("seed", pa.int64()), ("documents", pa.int64())]), some, total[some])
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
-_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+def item_bounds(known: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The most that an alignment of each item can score: its best stretch, with MATCH for words the document has, else less.
+
+    known: for all words of the items, one item after another, whether the document has the word; sizes: words of each
+    item, one at least. A word left over costs the smaller of a mismatch and a gap.
+    """
+    first = np.cumsum(sizes) - sizes
+    total = np.cumsum(np.where(known, MATCH, -min(MISMATCH, GAP)))
+    before = np.concatenate([[0], total[:-1]])
+    apart = np.repeat(np.arange(len(sizes)) * ((MATCH + MISMATCH + GAP) * (len(known) + 1)), sizes)  # no item sees one before it
+    return np.maximum(np.maximum.reduceat(total - (np.minimum.accumulate(before - apart) + apart), first), 0)
+
+
+def _parts(pairs: np.ndarray, doc: np.ndarray) -> Iterator[slice]:
+    """Slices of the hits, whole documents each, with about PAIRS pairs."""
+    if not len(doc):
+        return
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    total = np.cumsum(pairs)[ends - 1]
+    lo = done = 0
+    while lo < len(doc):
+        k = max(int(np.searchsorted(total, done + PAIRS, side="right")) - 1, int(np.searchsorted(ends, lo, side="right")))
+        yield slice(lo, int(ends[k]))
+        lo, done = int(ends[k]), int(total[k])
 
 
 def _search(batches: Iterator[pa.RecordBatch], shared, least: float, floor_words: int) -> Iterator[pa.RecordBatch]:
     items: Items = shared.value
+    known = np.zeros(len(items.vocabulary) + 1, bool)
+    length = np.diff(items.first)
+    enough = np.maximum(least * MATCH * length, np.minimum(MATCH * floor_words, 0.8 * MATCH * length))
     for batch, texts in slices(batches):
         ids = column(batch, "id").to_numpy()
-        numbers, first, doc, at, seed = items.hits(texts)
-        wide = items.seed_first[seed + 1] - items.seed_first[seed] if len(seed) else np.zeros(0, np.int64)
-        hit = np.repeat(np.arange(len(seed)), wide)
-        row = items.seed_first[seed][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(wide) - wide, wide) if len(seed) else hit
-        item, start = items.seed_item[row], at[hit] - items.seed_place[row]
-        pair = doc[hit] * len(items.ids) + item
-        order = np.argsort(pair, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]])) if len(order) else order
+        numbers, first, docs, ats, seeds = items.hits(texts)
+        wides = items.seed_first[seeds + 1] - items.seed_first[seeds] if len(seeds) else np.zeros(0, np.int64)
         found = []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-            k = order[lo:hi]
-            d, i = int(doc[hit[k[0]]]), int(item[k[0]])
-            want = items.words[items.first[i] : items.first[i + 1]]
-            own = numbers[first[d] : first[d + 1]]
-            best = (0, 0, 0)
-            for a, b in windows(start[k] - first[d], len(want), len(own)):
-                score, end, item_end = align(want, own[a:b])
-                if score > best[0]:
-                    begin = align(want[:item_end][::-1], own[a : a + end][::-1])[1]
-                    best = (score, a + end - begin, a + end)
-            share = best[0] / (MATCH * len(want))
-            if best[0] >= max(least * MATCH * len(want), min(MATCH * floor_words, 0.8 * MATCH * len(want))):
-                found.append((int(ids[d]), int(items.ids[i]), share, best[1], best[2] - 1))
+        for part in _parts(wides, docs):
+            doc, at, seed, wide = docs[part], ats[part], seeds[part], wides[part]
+            hit = np.repeat(np.arange(len(seed)), wide)
+            row = items.seed_first[seed][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(wide) - wide, wide)
+            item, start = items.seed_item[row], at[hit] - items.seed_place[row]
+            pair = doc[hit] * len(items.ids) + item
+            order = np.argsort(pair, kind="stable")
+            cuts = runs(pair[order])
+            ends = np.append(cuts[1:], len(order))
+            of_doc, of_item = np.divmod(pair[order][cuts], len(items.ids))
+            many = np.append(runs(of_doc), len(cuts))
+            for x, y in zip(many[:-1], many[1:]):
+                d, candidates = int(of_doc[x]), of_item[x:y]
+                own = numbers[first[d] : first[d + 1]]
+                known[own] = True
+                known[0] = False
+                bound = item_bounds(known[items.words_of(candidates)], length[candidates])
+                known[own] = False
+                for k in x + np.flatnonzero(bound >= enough[candidates]):
+                    i = int(of_item[k])
+                    want = items.words[items.first[i] : items.first[i + 1]]
+                    known[want] = True
+                    best = (0, 0, 0)
+                    for a, b in windows(start[order[cuts[k] : ends[k]]] - first[d], len(want), len(own)):
+                        if item_bounds(known[own[a:b]], np.array([b - a]))[0] < enough[i]:
+                            continue
+                        score, end, item_end = align(want, own[a:b])
+                        if score > best[0]:
+                            begin = align(want[:item_end][::-1], own[a : a + end][::-1])[1]
+                            best = (score, a + end - begin, a + end)
+                    known[want] = False
+                    if best[0] >= enough[i]:
+                        found.append((int(ids[d]), int(items.ids[i]), best[0] / (MATCH * len(want)), best[1], best[2] - 1))
         if found:
             yield batch_of(_LEAKS, *map(list, zip(*found)))
 
@@ -182,14 +202,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.4, flo
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id", "text").collect()  # about BLOCK_BYTES
-        block = Items([r.id for r in rows], [r.text for r in rows], n)
-        shared = spark.sparkContext.broadcast(block)
-        seen = arrow_map(docs.select("text"), partial(_count, shared=shared), "seed long, documents long").groupBy("seed").agg(F.sum("documents").alias("documents")).collect()  # one row a seed of the block
-        documents = np.zeros(len(block.codes), np.int64)
-        documents[[r.seed for r in seen]] = [r.documents for r in seen]
-        block.keep_rare(documents)
-        rare = spark.sparkContext.broadcast(block)
-        found = arrow_map(docs, partial(_search, shared=rare, least=least, floor_words=floor_words), "doc_id long, item_id long, score double, first_word long, last_word long")
+        shared = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows], n))
+        found = arrow_map(docs, partial(_search, shared=shared, least=least, floor_words=floor_words), "doc_id long, item_id long, score double, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -488,3 +488,25 @@ def test_leaks_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in decontaminate.leaks(docs, table).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
     assert {tuple(r) for r in decontaminate.leaks(docs, table).collect()} == whole and len(whole) == 20
+
+
+def test_leaks_of_a_repeated_part(spark):
+    """A truncated copy is found however often it is repeated beside a full one, as is a lone one of the rest."""
+    rng = random.Random(13)
+    item = prose(rng, 100).split()
+    part = [prose(rng, 20) + " " + " ".join(item[:45]) + " " + prose(rng, 20) for _ in range(10)]
+    docs = [" ".join(item), *part, prose(rng, 20) + " " + " ".join(item[50:95]), prose(rng, 150)]
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.leaks(frame(spark, docs), table).collect()}
+    assert set(got) == set(range(12)) and got[0] == 1 and all(0.45 <= got[k] < 0.6 for k in range(1, 12))
+    assert {r.doc_id for r in decontaminate.decontaminated(frame(spark, docs), table).collect()} == {12}
+
+
+def test_bound_of_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        items, b = [rng.integers(0, 6, rng.integers(1, 15)) for _ in range(4)], rng.integers(0, 6, rng.integers(0, 20))
+        bounds = decontaminate.item_bounds(np.isin(np.concatenate(items), b), np.array([len(a) for a in items]))
+        for a, bound in zip(items, bounds):
+            assert align_by_loop(a, b) <= min(bound, decontaminate.item_bounds(np.isin(b, a), np.array([len(b)]))[0] if len(b) else 0)
+            assert bound == max(0, *[sum(2 if x in b else -1 for x in a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)])
