@@ -227,7 +227,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """docs with surrogates for the entities in text_col, and columns _entities (how many) and _kinds (sorted, distinct, comma-joined).
 
     A null text stays null with no entities; texts without entities stay as they are. Equal entities get equal surrogates
-    in all rows, distinct ones distinct surrogates, under the same key. All other columns pass; _entities, _kinds and _found
+    in all rows, distinct ones distinct surrogates, under the same key. Rows are told apart by themselves, so that null and
+    repeated ids are like any others; id_col is not read. All other columns pass; _entities, _kinds, _found, _row and _new
     must be free names. An empty table gives no rows.
     """
     docs = docs.withColumn("_found", entities(F.col(text_col)))
@@ -249,12 +250,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
             return _let(F.coalesce(table[F.concat(k, F.lit("\x1f"), canonical(e, k))], F.lit(0)), lambda attempt: surrogate(e, k, key, attempt))
 
         return docs.withColumns(counted).withColumn(text_col, F.when(F.size("_found") > 0, replaced(F.col(text_col), F.transform("_found", one))).otherwise(F.col(text_col))).drop("_found")
-    each = docs.where(F.size("_found") > 0).select(F.col(id_col).alias("_id"), F.posexplode("_found").alias("_at", "entity")).withColumn("kind", kind(F.col("entity")))
+    docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))  # written: the same number on both sides of the join
+    each = docs.where(F.size("_found") > 0).select("_row", F.posexplode("_found").alias("_at", "entity")).withColumn("kind", kind(F.col("entity")))
     each = each.withColumn("known", canonical(F.col("entity"), F.col("kind"))).join(small(again, 100, count), ["kind", "known"], "left")
-    each = each.select("_id", "_at", surrogate(F.col("entity"), F.col("kind"), key, F.coalesce("attempt", F.lit(0))).alias("new"))
-    lists = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("_at", "new"))), lambda s: s["new"]).alias("_new"))  # the entities of one document
-    joined = docs.withColumns(counted).join(lists, F.col(id_col) == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_new").isNotNull(), replaced(F.col(text_col), F.col("_new"))).otherwise(F.col(text_col))).drop("_found", "_new", "_id")
+    each = each.select("_row", "_at", surrogate(F.col("entity"), F.col("kind"), key, F.coalesce("attempt", F.lit(0))).alias("new"))
+    lists = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_set(F.struct("_at", "new"))), lambda s: s["new"]).alias("_new"))  # the entities of one document
+    joined = docs.withColumns(counted).join(lists, "_row", "left")
+    return joined.withColumn(text_col, F.when(F.col("_new").isNotNull(), replaced(F.col(text_col), F.col("_new"))).otherwise(F.col(text_col))).drop("_found", "_new", "_row")
 
 
 def surrogate_texts(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED) -> DataFrame:

@@ -510,3 +510,13 @@ def test_bound_of_alignment():
         for a, bound in zip(items, bounds):
             assert align_by_loop(a, b) <= min(bound, decontaminate.item_bounds(np.isin(b, a), np.array([len(b)]))[0] if len(b) else 0)
             assert bound == max(0, *[sum(2 if x in b else -1 for x in a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)])
+
+
+@pytest.mark.parametrize("listed", [500, -1])
+def test_surrogates_of_null_and_repeated_ids(spark, listed):
+    texts = ["mail amy.1@mail.example.com now", "from 97.51.17.173 and 12.34.56.78", "call +1 415 555 7713", "none"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (8, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in surrogates.surrogate_texts(docs, "key", listed=listed).collect())
+    alone = {t: surrogates.surrogate_texts(spark.createDataFrame([(1, t)], "doc_id long, text string"), "key").first().text for t in texts}
+    assert got == Counter((i, alone[t]) for i, t in rows) and all(alone[t] != t for t in texts[:3])
