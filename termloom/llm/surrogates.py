@@ -4,7 +4,7 @@ One pattern finds e-mail and network addresses, secrets, bank and social securit
 names. An entity's surrogate is drawn from a keyed digest of its canonical form, so that it is the same wherever the
 entity stands: characters give way to others of their kind and script, separators, case, country codes and card check
 sums stay, a first name gives way to one of the same gender and script. Surrogates that meet each other or an original
-are drawn again until all distinct entities differ.
+are drawn again until all distinct entities differ; where a format has too few values left for that, draws grow longer.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from termloom.llm.common import cut, drop_cut, small
 
 #: Redrawn entities that the rewriting expression lists itself; beyond it they are joined.
 LISTED = 500
+#: Draws in an entity's own format; each one after them has a digit, syllable or other part more than the one before.
+ROUNDS = 20
 
 # Names by gender and script.
 FEMALE = ("Mary", "Patricia", "Jennifer", "Linda", "Barbara", "Susan", "Jessica", "Karen", "Nancy", "Margaret", "Dorothy", "Sandra")
@@ -131,13 +133,26 @@ def _pick(names: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.pmod(number, F.lit(len(names))) + 1)
 
 
+def _more(attempt: Column) -> Column:
+    """Parts by which a draw is longer than its format."""
+    return F.greatest(attempt - F.lit(ROUNDS), F.lit(0))
+
+
+def _longer(attempt: Column, each) -> Column:
+    """each(place from 1) for all parts by which a draw is longer, joined; null where there are none."""
+    return F.when(_more(attempt) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(_more(attempt), F.lit(1))), each), ""))
+
+
 def _surname(word: Column, key: str, attempt: Column) -> Column:
-    """An invented surname of four syllables, the same for a surname in every name."""
+    """An invented surname of four syllables or more, the same for a surname in every name."""
 
     def build(h: Column) -> Column:
         latin = F.concat(*[x for k in range(4) for x in (_letter(_OPEN, _byte(h, F.lit(2 * k + 1))), _letter(_VOWEL, _byte(h, F.lit(2 * k + 2))))])
         cyrillic = F.concat(*[x for k in range(4) for x in (_letter(_OPEN_CYRILLIC, _byte(h, F.lit(2 * k + 1))), _letter(_VOWEL_CYRILLIC, _byte(h, F.lit(2 * k + 2))))])
-        made = F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+        own, open_, vowel = word.rlike(r"\p{IsCyrillic}"), lambda i: _byte(h, 2 * i + 7), lambda i: _byte(h, 2 * i + 8)
+        latin = F.concat(latin, F.coalesce(_longer(attempt, lambda i: F.concat(_letter(_OPEN, open_(i)), _letter(_VOWEL, vowel(i)))), F.lit("")))
+        cyrillic = F.concat(cyrillic, F.coalesce(_longer(attempt, lambda i: F.concat(_letter(_OPEN_CYRILLIC, open_(i)), _letter(_VOWEL_CYRILLIC, vowel(i)))), F.lit("")))
+        made = F.when(own, cyrillic).otherwise(latin)
         return F.when(F.upper(word) == word, F.upper(made)).otherwise(F.concat(F.upper(F.substr(made, F.lit(1), F.lit(1))), F.substr(made, F.lit(2))))
 
     return _let(_digest(key, F.lower(word), attempt, 1), build)
@@ -175,35 +190,39 @@ def _drawn(entity: Column, kind_: Column, known: Column, key: str, attempt: Colu
         digits = _characters(bare, lambda c, i: F.when(i <= kept, c).otherwise(_letter("0123456789", _byte(digest, i))))
         checked = _let(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0")), lambda d: F.concat(F.substr(d, F.lit(1), F.length(d) - 1), F.pmod(_luhn(bare) - _luhn(d), F.lit(10)).cast("string")))
         octet = lambda o, i: F.when(F.length(o) == 1, F.pmod(_byte(digest, i + 1), F.lit(10))).when(F.length(o) == 2, 10 + F.pmod(_byte(digest, i + 1), F.lit(90))).otherwise(100 + F.pmod(_byte(digest, i + 1), F.lit(156)))
+        longer = F.coalesce(_longer(attempt, lambda i: _letter("0123456789", _byte(digest, i + 100))), F.lit(""))
+        # octets of any length first, then a number after them
+        free = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: _byte(digest, i + 100).cast("string")), "."), F.when(_more(attempt) > 20, F.concat(F.lit("."), longer)).otherwise(F.lit("")))
         address = F.array_join(F.transform(F.split(known, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
         tail = F.regexp_extract(entity, r"(\.[\p{L}\p{N}-]+)$", 1)
         domain = F.regexp_extract(known, r"@(.*)\.[^.]+$", 1)
         mailbox = F.regexp_extract(entity, r"^([^@]*)@", 1)
         host = _let(_digest(key, F.concat(F.lit("domain\x1f"), domain), F.lit(0)), lambda h: _characters(domain, lambda c, i: _like(c, _byte(h, i))))
-        mail = F.concat(_characters(mailbox, lambda c, i: _like(c, _byte(digest, i))), F.lit("@"), host, tail)
+        mail = F.concat(_characters(mailbox, lambda c, i: _like(c, _byte(digest, i))), longer, F.lit("@"), host, tail)
         account = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(whole, F.lit(3)))
         prefixed = F.regexp_extract(entity, r"^(AKIA|gh[pousr]_|sk-)", 1)
         secret = F.when(prefixed != "", F.concat(prefixed, F.substr(whole, F.length(prefixed) + 1))).otherwise(hexadecimal)
         return (
             F.when(kind_ == "email", mail)
-            .when(kind_ == "ip", address)
-            .when(kind_ == "secret", secret)
-            .when(kind_ == "iban", account)
-            .when(kind_ == "card", _spelled(checked, entity))
-            .when(kind_.isin("ssn", "phone"), _spelled(digits, entity))
+            .when(kind_ == "ip", F.when(_more(attempt) > 0, free).otherwise(address))
+            .when(kind_ == "secret", F.concat(secret, longer))
+            .when(kind_ == "iban", F.concat(account, longer))
+            .when(kind_ == "card", F.concat(_spelled(checked, entity), longer))
+            .when(kind_.isin("ssn", "phone"), F.concat(_spelled(digits, entity), longer))
             .otherwise(_name(entity, key, attempt))
         )
 
     return _let(_digest(key, F.concat(kind_, F.lit("\x1f"), known), attempt), drawn)
 
 
-def redrawn(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def redrawn(found: DataFrame, key: str) -> DataFrame:
     """(kind, known, attempt) of the entities of found(kind, known) whose first surrogate meets another or an original.
 
-    Of those that meet, the smallest canonical form keeps its draw, unless that is an original.
+    Of those that meet, the smallest canonical form keeps its draw, unless that is an original. After ROUNDS draws an
+    entity's space grows beyond its format, so that all differ in the end however full the format is.
     """
     drawn = cut(found.select("kind", "known", F.lit(0).alias("attempt")))
-    for _ in range(rounds):
+    while True:
         made = drawn.withColumn("made", _let(surrogate(F.col("known"), F.col("kind"), key, F.col("attempt")), lambda s: canonical(s, F.col("kind"))))
         made = cut(made)
         first = made.groupBy("kind", "made").agg(F.min("known").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "made", "first")
@@ -213,8 +232,8 @@ def redrawn(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         if again.isEmpty():
             return drawn.where("attempt > 0")
         drawn, before = cut(drawn.join(again.withColumn("_again", F.lit(1)), ["kind", "known"], "left").select("kind", "known", (F.col("attempt") + F.coalesce("_again", F.lit(0))).alias("attempt"))), drawn
-        drop_cut(before)
-    raise RuntimeError(f"surrogates still meet after {rounds} rounds")
+        for done in (before, made, again):
+            drop_cut(done)
 
 
 def replaced(text: Column, surrogates: Column) -> Column:

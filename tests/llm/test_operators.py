@@ -520,3 +520,31 @@ def test_surrogates_of_null_and_repeated_ids(spark, listed):
     got = Counter((r.doc_id, r.text) for r in surrogates.surrogate_texts(docs, "key", listed=listed).collect())
     alone = {t: surrogates.surrogate_texts(spark.createDataFrame([(1, t)], "doc_id long, text string"), "key").first().text for t in texts}
     assert got == Counter((i, alone[t]) for i, t in rows) and all(alone[t] != t for t in texts[:3])
+
+
+def test_surrogates_of_full_formats(spark, monkeypatch):
+    """Distinct, and no originals, though all 10,000 addresses and phones of a format and all mailboxes of a letter occur."""
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
+    addresses = [".".join(f"{n:04}") for n in range(10_000)]
+    phones = [f"+1 {n // 100:02} {n % 100:02}" for n in range(10_000)]
+    mails = [f"{c}@a.example" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [*addresses, *phones, *mails]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in surrogates.surrogate_texts(docs, "k").collect()}
+    new = {k: r.text for k, r in got.items()}
+    assert len(new) == len(texts) and all(r.n_entities == 1 for r in got.values())
+    assert len(set(new.values())) == len(texts) and not set(new.values()) & set(texts)
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", new[k]) for k in range(10_000)) and all(re.fullmatch(r"\+1 \d\d \d{2,}", new[k]) for k in range(10_000, 20_000))
+
+
+def test_surrogates_grow_longer(spark):
+    """Draws in the format keep it; later ones are longer for every kind, and for every spelling alike."""
+    found = [("email", "ann@b.example"), ("ip", "1.2.3.4"), ("secret", "0" * 32), ("iban", "DE89370400440532013000"), ("ssn", "123-45-6789"), ("card", "4785380592391139"), ("phone", "+1 22 22"), ("name", "Mary Smith"), ("name", "Мария Иванова")]
+    table = spark.createDataFrame(found, "kind string, entity string").crossJoin(spark.range(surrogates.ROUNDS, surrogates.ROUNDS + 31).withColumnRenamed("id", "attempt"))
+    made = defaultdict(dict)
+    for r in table.withColumn("new", surrogates.surrogate(F.col("entity"), F.col("kind"), "k", F.col("attempt").cast("int"))).collect():
+        made[r.kind, r.entity][r.attempt - surrogates.ROUNDS] = r.new
+    for (kind, entity), new in made.items():
+        if kind not in ("name", "ip"):
+            assert [len(new[k]) - len(entity) for k in range(31)] == list(range(31))
+        assert len(new[30]) > len(new[0]) + 5 and len(set(new.values())) == 31
