@@ -1,10 +1,11 @@
 """Main-text extraction with site style trees.
 
-The pages of a host are merged into a tree of styles: a node is a path of tags and classes. For each node two normalised
-entropies over the host's pages are taken, of its presentation (the child tags) and of its content (its own text); a node
-is as important as the larger, a branch as its most important node. Branches that look alike on a host's pages are left
-out, as are those whose tag, class or role says that they are menus, headers, footers, sidebars, notices, adverts, forms
-or comments. Prose inside an article or main element stays, however often a host repeats it.
+The distinct pages of a host are merged into a tree of styles: a node is a path of tags and classes. For each node two
+normalised entropies over these pages are taken, so that copies of a page weigh as much as one: of its presentation (the
+child tags) and of its content (its own text). A node is as important as the larger, a branch as its most important node.
+Branches that look alike on a host's pages are left out, as are those whose tag, class or role says that they are menus,
+headers, footers, sidebars, notices, adverts, forms or comments. Prose inside an article or main element stays,
+however often a host repeats it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import arrow_map, batch_of, column, cut, slices, small
 
-#: Branches below this importance go, on hosts with so many pages at least.
+#: Branches below this importance go, where so many distinct pages at least have them.
 IMPORTANCE, PAGES = 0.3, 10
 
 _TOKEN = re.compile(
@@ -166,7 +167,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of pages(host, html): of each branch the largest entropy of its nodes, from 0 to 1."""
+    """(host, path, pages, importance) of the distinct pages(host, html): of each branch the largest entropy of its nodes, from 0 to 1."""
+    pages = pages.groupBy("host", F.md5("html").alias("digest")).agg(F.first("html").alias("html")).select("host", "html")
     counts = arrow_map(pages, _merge, "host string, path string, kind int, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     entropy = F.when(F.col("pages") > 1, F.round((F.ln("pages") - F.col("s") / F.col("pages")) / F.ln("pages"), 9)).otherwise(F.lit(1.0))
@@ -196,7 +198,7 @@ def extract(pages: DataFrame, least: float = IMPORTANCE, fewest: int = PAGES, id
     """page_id, url, text and n_chars of every page: its article text, blocks joined by one newline, each with single blanks.
 
     Character references are decoded. A null html is empty; a null url has the empty host. Pages with a null id are
-    dropped. Equal pages give equal rows. Branches of importance under `least` go on hosts of `fewest` pages or more; if a
+    dropped. Equal pages give equal rows. Branches of importance under `least` go where `fewest` distinct pages or more have them; if a
     page has no article or main element and nothing is left, its text is empty. An empty table gives no rows. Other
     columns are not read.
     """

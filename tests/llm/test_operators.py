@@ -548,3 +548,14 @@ def test_surrogates_grow_longer(spark):
         if kind not in ("name", "ip"):
             assert [len(new[k]) - len(entity) for k in range(31)] == list(range(31))
         assert len(new[30]) > len(new[0]) + 5 and len(set(new.values())) == 31
+
+
+def test_templates_of_a_host_of_copies(spark):
+    """Copies of a page weigh as much as one: distinct pages beside them keep their text, and so does a page that is all of its host."""
+    rng = random.Random(14)
+    page = lambda words: f'<body><div class="top">same words</div><div class="box"><p>{words}</p></div></body>'
+    copied, own = prose(rng, 12), [prose(rng, 12) for _ in range(30)]
+    rows = [(k, f"https://host.example/{k}", page(own[k] if k < 30 else copied)) for k in range(300)]
+    rows += [(300 + k, f"https://alone.example/{k}", page(copied)) for k in range(12)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (own[k] if k < 30 else copied) for k in range(300)) and all(copied in got[k] for k in range(300, 312))
