@@ -1,9 +1,9 @@
 """Vector best-fit packing of tokenised documents into sequences of bounded tokens, documents and attention cost.
 
-Every task tokenises and packs its own documents; a piece goes to the open sequence in which it fits under all three
-capacities and leaves the smallest weighted residual norm (or has the largest weighted dot product with the residual).
-Each task then hands its emptiest sequences, a bounded number, to a round of sixteen times fewer tasks that packs them
-anew, until one task is left, so that few sequences stay part-empty however many tasks there were.
+Pieces are dealt out evenly before they are packed, so that every task packs a sample of all lengths however the table
+is stored. A piece goes to the open sequence in which it fits under all three capacities and leaves the smallest weighted
+residual norm (or has the largest weighted dot product with the residual). All sequences that are not nearly full are
+taken apart, dealt anew and packed again, until one window holds them or a round saves next to none of them.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from termloom.llm.common import arrow_map, batch_of, column, cut, slices, split_
 END_ID = 1
 #: Pieces that are packed together in a task.
 WINDOW = 20_000
-#: Sequences that a task hands on, and how many tasks hand to one.
-HANDED, MERGED = 64, 16
+#: Sequences under this share of their tokens are packed again, as long as a round saves this share of them.
+FILLED, SAVED = 0.95, 0.01
+#: The first round has a task for so many pieces, as far as there are cores.
+DEALT = 1_000
 _CACHE_WORDS = 200_000
 
 
@@ -216,13 +218,12 @@ def _place(held: list[tuple], base: int, capacity: tuple, weights: tuple, rule:
     fill = np.bincount(seq, weights=length, minlength=made)
     handed = np.zeros(made, bool)
     if not last:
-        emptiest = np.argsort(fill, kind="stable")[:HANDED]
-        handed[emptiest[fill[emptiest] < capacity[0]]] = True
+        handed = fill < FILLED * capacity[0]
     return batch_of(_PLACED, *columns, base + seq, offset, handed[seq]), made
 
 
 def _pack(slices_: Iterator[tuple], round_: int, capacity: tuple, weights: tuple, rule: str, last: bool) -> Iterator[pa.RecordBatch]:
-    base = (round_ << 58) + (TaskContext.get().partitionId() << 36)
+    base = (round_ << 54) + (TaskContext.get().partitionId() << 32)
     held: list[tuple] = []
     for columns in slices_:
         held.append(columns)
@@ -234,8 +235,9 @@ def _pack(slices_: Iterator[tuple], round_: int, capacity: tuple, weights: tuple
         yield _place(held, base, capacity, weights, rule, last)[0]
 
 
-def _first(batches: Iterator[pa.RecordBatch], path: str, capacity: tuple, weights: tuple, rule: str) -> Iterator[pa.RecordBatch]:
-    return _pack((x[:5] for x in _cut_ids(batches, path, capacity[0], False)), 0, capacity, weights, rule, False)
+def _first(batches: Iterator[pa.RecordBatch], path: str, tokens: int) -> Iterator[pa.RecordBatch]:
+    for *columns, _ in _cut_ids(batches, path, tokens, False):
+        yield batch_of(_SCHEMA, *columns)
 
 
 def _again(batches: Iterator[pa.RecordBatch], round_: int, capacity: tuple, weights: tuple, rule: str, last: bool) -> Iterator[pa.RecordBatch]:
@@ -278,15 +280,19 @@ def pack(
         raise ValueError("rule is norm or dot")
     capacity = (tokens, documents, cost)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    placed = cut(arrow_map(docs, partial(_first, path=path, capacity=capacity, weights=weights, rule=rule), _PLACED_SQL))
-    done = placed.where("not handed")
-    tasks, round_ = placed.select(F.max(F.shiftright("sequence_id", 36))).first()[0], 0
-    tasks = 1 if tasks is None else tasks + 1
+    rest = cut(arrow_map(docs, partial(_first, path=path, tokens=tokens), _PIECES))
+    done, before, round_ = None, None, 0
+    pieces = rest.count()
+    tasks = max(-(-pieces // WINDOW), min(docs.sparkSession.sparkContext.defaultParallelism, -(-pieces // DEALT)), 1)
     while True:
-        tasks, round_ = -(-tasks // MERGED), round_ + 1
-        rest = placed.where("handed").drop("sequence_id", "offset", "handed")
-        rest = rest.coalesce(1) if tasks == 1 else rest.repartition(tasks)
-        placed = cut(arrow_map(rest, partial(_again, round_=round_, capacity=capacity, weights=weights, rule=rule, last=tasks == 1), _PLACED_SQL))
-        done = done.unionByName(placed.where("not handed"))
-        if tasks == 1:
-            return done.drop("handed")
+        dealt = rest.coalesce(1) if tasks == 1 else rest.repartition(tasks)
+        placed = cut(arrow_map(dealt, partial(_again, round_=round_, capacity=capacity, weights=weights, rule=rule, last=tasks == 1), _PLACED_SQL))
+        full = placed.where("not handed")
+        made, kept, pieces = placed.select(F.count_distinct("sequence_id"), F.count_distinct(F.when(~F.col("handed"), F.col("sequence_id"))), F.count_if("handed")).first()
+        if tasks == 1 or pieces == 0 or (before is not None and made > (1 - SAVED) * before):
+            last = placed if before is None or made <= before else earlier
+            return (last if done is None else done.unionByName(last)).drop("handed")
+        done = full if done is None else done.unionByName(full)
+        earlier, before = placed.where("handed"), made - kept
+        rest = earlier.drop("sequence_id", "offset", "handed")
+        tasks, round_ = -(-pieces // WINDOW), round_ + 1

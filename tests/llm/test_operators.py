@@ -559,3 +559,13 @@ def test_templates_of_a_host_of_copies(spark):
     rows += [(300 + k, f"https://alone.example/{k}", page(copied)) for k in range(12)]
     got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == (own[k] if k < 30 else copied) for k in range(300)) and all(copied in got[k] for k in range(300, 312))
+
+
+def test_packing_of_lengths_by_partition(spark):
+    """A table stored by length is packed as tightly as a shuffled one."""
+    text = {n: " ".join(["the"] * (n - 1)) for n in (22, 18)}
+    docs = spark.createDataFrame([(k, text[22 if k < 2_500 else 18]) for k in range(5_000)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    rows = packing.pack(docs, tokenizer_path(), tokens=40).toPandas()
+    assert sorted(rows.doc_id) == list(range(5_000)) and sorted(set(rows.length)) == [18, 22]
+    filled = rows.groupby("sequence_id").length.sum()
+    assert filled.max() <= 40 and len(filled) == 2_500
