@@ -40,6 +40,9 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 _APART = frozenset("nav footer aside form head button select option menu dialog input label fieldset search".split())
 _MAIN = frozenset(("article", "main"))
+# Elements that hold a whole page or article, which no word cuts; first words of classes that tell what a page has.
+_WHOLE = frozenset(("html", "body", "article", "main"))
+_STATES = frozenset("has have no not with without is show hide".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Words in classes, ids and roles of branches that are no article text.
 _WORDS = frozenset(
@@ -53,7 +56,8 @@ _WORDS = frozenset(
 def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """Name of the node in the tree, whether its tag or attributes tell it apart from text, whether they call it a header."""
     names = [w for m in _NAMES.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
-    words = {p for w in names for p in (w, *re.split(r"[-_]+", w))}
+    parts = {w: re.split(r"[-_]+", w) for w in names}
+    words = set() if tag in _WHOLE else {p for w, ps in parts.items() if ps[0] not in _STATES for p in (w, *ps)}
     label = ".".join([tag, *(re.sub(r"\d+", "0", w) for w in names)])
     return label, tag in _APART or bool(words & _WORDS), tag == "header" or "header" in words or "masthead" in words
 
@@ -139,10 +143,11 @@ def walk(html: str, low: frozenset[str] = frozenset(), tree: dict[str, tuple[lis
     return out
 
 
-def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
-    """The page's blocks, one a line: those of its article or main elements, or all that are left where it has none."""
+def main_text(html: str, low: frozenset[str] = frozenset(), judged: bool = False) -> str:
+    """The page's blocks, one a line: all that are left where the host's tree has judged them, else those of its article or
+    main elements, or all that are left where it has none."""
     blocks = walk(html, low)
-    inside = [t for main, t in blocks if main]
+    inside = [t for main, t in blocks if main and not judged]
     return "\n".join(inside or [t for _, t in blocks])
 
 
@@ -186,11 +191,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[tuple, frozenset] = {}
     for batch, texts in slices(batches, "html"):
         out = []
-        for html, low in zip(texts.to_pylist(), column(batch, "low").to_pylist()):
-            low = tuple(low or ())
+        for html, found in zip(texts.to_pylist(), column(batch, "low").to_pylist()):
+            low = tuple(found or ())
             if low not in known:
                 known = {low: frozenset(low)} if len(known) > 1000 else {**known, low: frozenset(low)}
-            out.append(main_text(html, known[low]))
+            out.append(main_text(html, known[low], found is not None))
         yield batch_of(_TEXTS, column(batch, "id").to_numpy(), column(batch, "url"), out, [len(t) for t in out])
 
 
@@ -198,13 +203,13 @@ def extract(pages: DataFrame, least: float = IMPORTANCE, fewest: int = PAGES, id
     """page_id, url, text and n_chars of every page: its article text, blocks joined by one newline, each with single blanks.
 
     Character references are decoded. A null html is empty; a null url has the empty host. Pages with a null id are
-    dropped. Equal pages give equal rows. Branches of importance under `least` go where `fewest` distinct pages or more have them; if a
-    page has no article or main element and nothing is left, its text is empty. An empty table gives no rows. Other
+    dropped. Equal pages give equal rows. Branches of importance under `least` go where `fewest` distinct pages or more have them; there
+    all other branches stay, elsewhere only article and main elements if a page has any. If nothing is left, its text is empty. An empty table gives no rows. Other
     columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).where("id is not null")
-    weak = importance(pages.select("host", "html")).where((F.col("importance") < least) & (F.col("pages") >= fewest))
-    low = cut(weak.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")))  # paths of a host: its templates, not its pages
+    judged = importance(pages.select("host", "html")).where(F.col("pages") >= fewest)
+    low = cut(judged.groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("importance") < least, F.col("path")))).alias("low")))  # paths of a host: its templates, not its pages
     joined = pages.join(small(low, 4096), "host", "left").select("id", "url", "html", "low")
     return arrow_map(joined, _extract, "page_id long, url string, text string, n_chars long")

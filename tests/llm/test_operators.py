@@ -569,3 +569,12 @@ def test_packing_of_lengths_by_partition(spark):
     assert sorted(rows.doc_id) == list(range(5_000)) and sorted(set(rows.length)) == [18, 22]
     filled = rows.groupby("sequence_id").length.sum()
     assert filled.max() <= 40 and len(filled) == 2_500
+
+
+def test_text_outside_a_teaser(spark):
+    """On a host whose tree tells them apart, prose in a div stays beside a small article; classes of a page or its state cut nothing."""
+    rng = random.Random(15)
+    own = [prose(rng, 40) for _ in range(12)]
+    rows = [(k, f"https://host.example/{k}", f'<body class="has-sidebar"><div class="layout no-sidebar"><div class="nav">menu</div><div class="story">{t}</div><article class="legal-notice"><p>teaser {k}</p></article></div></body>') for k, t in enumerate(own)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{t}\nteaser {k}" for k, t in enumerate(own)}
