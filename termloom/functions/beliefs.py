@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def background(cf: Column, collection: Column) -> Column:
-    """Collection probability; an expression that never occurs counts as half an occurrence."""
-    return F.when(cf > 0, cf.cast("double")).otherwise(0.5) / collection
+    """Collection probability; an expression that never occurs counts as half an occurrence. Null in an empty collection."""
+    return F.try_divide(F.when(cf > 0, cf.cast("double")).otherwise(0.5), collection)
 
 
 def dirichlet(tf: Column, length: Column, p: Column, mu: float) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.operators.settle import settled
+
 
 def ablation(losses: DataFrame, scale: float, start: float, order: str = "position", digits: int = 9) -> DataFrame:
     """feature, norm_loss (its share of all losses times scale), cum_loss in order, reduced (start less cum_loss)."""
@@ -24,12 +26,25 @@ def aligned(curve: DataFrame, by: str, peak: float, value: str = "y", digits: in
     return curve.join(high, by).withColumn(value, F.round(F.col(value) + F.lit(peak) - F.col("_high"), digits)).drop("_high")
 
 
+def overall_rank(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place from 1 in the order: sorted ranges, counted, each moved by the rows of the ranges before it."""
+    spread = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = {r["_range"]: r["n"] for r in spread.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one row a range
+    before, moves = 0, []
+    for k in sorted(counts):
+        moves.append((k, before))
+        before += counts[k]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(moves, "_range int, _before long"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return spread.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 def layer_ranks(concepts: DataFrame, upper: float, lower: float) -> DataFrame:
     """concepts(level, concept, q) with in_layer and overall ranks by q and the region that q falls in."""
-    each = Window.partitionBy("level").orderBy(F.desc("q"), "concept")
-    every = Window.orderBy(F.desc("q"), "concept")
+    order = [F.desc("q"), F.col("concept")]
     region = F.when(F.col("q") >= upper, "selection").when(F.col("q") < lower, "rejection").otherwise("uncertainty")
-    return concepts.withColumns({"in_layer": F.row_number().over(each).cast("long"), "overall": F.row_number().over(every).cast("long"), "region": region})
+    in_layer = F.row_number().over(Window.partitionBy("level").orderBy(*order)).cast("long")
+    return overall_rank(concepts, order, "overall").withColumns({"in_layer": in_layer, "region": region})
 
 
 def local_regression(points: DataFrame, by: str, span: float = 0.75, degree: int = 2) -> DataFrame:
@@ -59,7 +74,15 @@ def local_regression(points: DataFrame, by: str, span: float = 0.75, degree: int
     return clean.groupBy(by).applyInPandas(fit, f"{by} {kind}, x double, y double, smooth double")
 
 
-def batches(frames: Iterator[pd.DataFrame], external) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: an external annotator applied to each batch of texts."""
-    for frame in frames:
-        yield external(frame)
+def annotated(texts: DataFrame, annotator: Callable[[str], list[str]], id_col: str = "qid", text_col: str = "text") -> DataFrame:
+    """qid, at, line: the lines that an external annotator writes for each text, in order; a null text has none.
+
+    annotator runs in the executors, on one text after another; it may start a program and keep it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(i, k, line) for i, t in zip(frame[id_col], frame[text_col]) if t is not None for k, line in enumerate(annotator(t))]
+            yield pd.DataFrame(found, columns=["qid", "at", "line"]).astype({"at": "int32"})
+
+    return texts.select(id_col, text_col).mapInPandas(run, f"qid {dict(texts.dtypes)[id_col]}, at int, line string")

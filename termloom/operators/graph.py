@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions import beliefs
 from termloom.functions import text as tx
 from termloom.operators.index import Index
+from termloom.operators.settle import Side, restricted, settled
 
 
 def last_wins(edges: DataFrame, order: str) -> DataFrame:
@@ -16,21 +17,22 @@ def last_wins(edges: DataFrame, order: str) -> DataFrame:
     return good.groupBy("src", "dst").agg(F.max_by("rel", order).alias("rel"))
 
 
-def association(index: Index, sources: DataFrame, least_both: int = 3, low: int = 5, high: int = 100, most: int = 20) -> DataFrame:
+def association(index: Index, sources: DataFrame, least_both: int = 3, low: int = 5, share: float = 0.1, most: int = 20) -> DataFrame:
     """(src, dst, df_both, weight): the best `most` terms of each source term by pointwise mutual information of documents.
 
-    Targets are terms of four letters and more in low to high documents, so that a pair's rows are bounded by high
-    times a document's terms.
+    Ends are terms in `low` documents and more, in no more than `share` of all documents (a word of most documents tells
+    nothing); targets have four letters or more. A document's pairs are counted by term number and added up before the shuffle.
     """
-    vocabulary = index.vocabulary().select("term", "df")
-    pairs = index.frequencies().select("term", "doc_id")
-    wanted = sources.select("term").distinct()
-    src = pairs.join(wanted, "term", "left_semi").withColumnRenamed("term", "src")
-    targets = vocabulary.where((F.length("term") >= 4) & F.col("df").between(low, high))
-    dst = pairs.join(targets.select(F.col("term")), "term", "left_semi").withColumnRenamed("term", "dst")
-    both = src.join(dst, "doc_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= least_both)
-    n = index.totals().select("n_docs")
-    named = both.join(vocabulary.select(F.col("term").alias("src"), F.col("df").alias("a")), "src").join(vocabulary.select(F.col("term").alias("dst"), F.col("df").alias("b")), "dst").join(n)
+    totals = index.totals().select("n_docs")
+    good = index.vocabulary().join(totals).where((F.col("df") >= low) & (F.col("df") <= F.col("n_docs") * F.lit(share)))
+    good = settled(good.select("term", "df", "n_docs", (F.length("term") >= 4).alias("target"), F.monotonically_increasing_id().alias("id")))  # written: an id stays
+    side = Side(restricted(good, "term", sources).select(F.col("term").alias("src"), F.col("df").alias("a"), F.col("id").alias("i")))
+    src = side.frame
+    held = side.restrict(index.postings(), "term", "src").select(F.col("term").alias("src"), "doc_id").join(src, "src").select("doc_id", "i")
+    targets = Side(good.where("target").select("term", F.col("id").alias("j"))).frame
+    words = index.frequencies().join(targets, "term").select("doc_id", "j")
+    both = held.join(words, "doc_id").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= least_both)
+    named = both.join(good.select(F.col("id").alias("j"), F.col("term").alias("dst"), F.col("df").alias("b"), "n_docs"), "j").join(src, "i")
     weighed = named.select("src", "dst", "df_both", F.round(beliefs.pmi(F.col("df_both"), F.col("a"), F.col("b"), F.col("n_docs")), 6).alias("weight"))
     order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     return weighed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
@@ -52,6 +54,12 @@ def hops(terms: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
     return seen
 
 
+def seeds(scored: DataFrame, count: int) -> DataFrame:
+    """qid, term: the first `count` concepts of each query by scored(qid, concept, score), ties by concept; they seed the next hop."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "concept")
+    return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= count).select("qid", F.col("concept").alias("term"))
+
+
 def related(concepts: DataFrame, relations: DataFrame, names: DataFrame) -> DataFrame:
     """Concepts of relations(cui1, cui2) out of concepts(qid, cui), with their smallest name; those without a name go."""
     named = names.groupBy("cui").agg(F.min("name").alias("name"))

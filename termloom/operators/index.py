@@ -1,80 +1,190 @@
-"""Index tables of a collection as DataFrames, their listings, and merging, deleting and compacting them.
+"""Index tables of a collection, their listings, and merging, deleting and compacting them.
 
-A collection is docs(doc_id, text). Nothing here keeps state: an Index names the plans of its tables, save() writes them.
+A collection is docs(doc_id, text); doc_id names a document. An Index is a forward table of documents; save() writes it
+with postings sorted by term, vocabulary and totals, so that a query reads the places of its own terms only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.functions import text as tx
+from termloom.operators.settle import file_system, restricted, shared_folder
 
 OOV = "[OOV]"
+#: Tokens that the postings kernel works on at once.
+TOKENS = 1_000_000
+#: Stands in the key of written indexes; a change of layout takes a new number.
+LAYOUT = 1
 
 
 @dataclass
 class Index:
-    """tokens(doc_id, pos, term), pos from 1; lengths(doc_id, len)."""
+    """documents(doc_id, len, words); tables: those that are written, by name."""
 
-    tokens: DataFrame
-    lengths: DataFrame
+    documents: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.documents.select("doc_id", "len")
+
+    @property
+    def tokens(self) -> DataFrame:
+        """doc_id, pos from 1, term."""
+        return self.documents.select("doc_id", F.posexplode("words").alias("at", "term")).select("doc_id", (F.col("at") + 1).alias("pos"), "term")
 
     def postings(self) -> DataFrame:
-        """term, doc_id, tf, positions: a list holds one document's places of one term."""
-        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        """term, doc_id, tf, len, positions: one document's places of one term, and the document's length."""
+        return self.tables["postings"] if "postings" in self.tables else postings_of(self.documents)
 
     def frequencies(self) -> DataFrame:
         """term, doc_id, tf."""
-        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        return self.postings().select("term", "doc_id", "tf")
 
     def vocabulary(self) -> DataFrame:
-        """term, cf, df: one shuffle by (term, doc_id) for both counts."""
+        """term, cf, df; added up before the shuffle."""
+        if "vocabulary" in self.tables:
+            return self.tables["vocabulary"]
         return self.frequencies().groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
     def totals(self) -> DataFrame:
         """One row: n_docs, n_tokens."""
+        if "totals" in self.tables:
+            return self.tables["totals"]
         return self.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_tokens"))
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, lengths and vocabulary, for scans that prune by term."""
-        self.postings().repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.vocabulary().write.mode("overwrite").parquet(f"{path}/vocabulary")
+        """All tables under path. Postings are dealt out by ranges of (term, doc_id), so that a frequent term fills several files."""
+        spark = self.documents.sparkSession
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        documents, cores = self.documents, spark.sparkContext.defaultParallelism
+        if documents.rdd.getNumPartitions() < cores:  # a table of few splits would be read by few cores ever after
+            documents = documents.repartition(cores)
+        documents.write.mode("overwrite").parquet(f"{path}/documents")
+        documents = spark.read.schema(self.documents.schema).parquet(f"{path}/documents")
+        fresh = postings_of(documents)
+        fresh.repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = Index(documents, {"postings": spark.read.schema(fresh.schema).parquet(f"{path}/postings")})
+        written.vocabulary().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        written.totals().write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about `most` tokens, one row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's places by term need no shuffle: its words stand in one row."""
+    for batch in batches:
+        ids, length, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "len", "words"))
+        sizes = np.diff(np.asarray(lists.offsets))
+        for lo, hi in _portions(sizes, TOKENS):
+            part = lists.slice(lo, hi - lo)
+            coded = part.flatten().dictionary_encode()
+            n = sizes[lo:hi]
+            row = np.repeat(np.arange(hi - lo), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+            key = row * max(len(coded.dictionary), 1) + np.asarray(coded.indices)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            first = order[at]
+            bounds = np.append(at, len(key)).astype(np.int32)
+            owner = pa.array(row[first] + lo)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(np.asarray(coded.indices)[first])),
+                    ids.take(owner),
+                    pa.array(np.diff(bounds).astype(np.int64)),
+                    length.take(owner),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order].astype(np.int32))),
+                ],
+                names=["term", "doc_id", "tf", "len", "positions"],
+            )
+
+
+def postings_of(documents: DataFrame) -> DataFrame:
+    kind = documents.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", kind), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    return documents.select("doc_id", "len", "words").mapInArrow(_postings, schema)
 
 
 def build(docs: DataFrame, stop: tuple[str, ...] = (), stemmer=None) -> Index:
-    """Tokens of docs(doc_id, text). Stop words keep their places but become OOV; stemmer maps a term column."""
-    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("terms"))
-    term = F.col("term") if stemmer is None else stemmer(F.col("term"))
+    """The index of docs(doc_id, text). Stop words keep their places but become OOV; stemmer maps a term column."""
+    words = tx.tokens(F.col("text"))
+    if stemmer is not None:
+        words = F.transform(words, stemmer)
     if stop:
-        term = F.when(F.col("term").isin(*stop), F.lit(OOV)).otherwise(term)
-    tokens = words.select("doc_id", F.posexplode("terms").alias("at", "term")).select("doc_id", (F.col("at") + 1).alias("pos"), term.alias("term"))
-    return Index(tokens, words.select("doc_id", F.size("terms").cast("long").alias("len")))
+        words = F.transform(words, lambda w: F.when(w.isin(*stop), F.lit(OOV)).otherwise(w))
+    return Index(docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("len"), "words"))
 
 
-def load(spark: SparkSession, path: str) -> Index:
+def load(spark: SparkSession, path: str, id_type: str = "bigint") -> Index:
     """An index that save() wrote."""
-    postings = spark.read.parquet(f"{path}/postings")
-    return Index(postings.select("doc_id", F.explode("positions").alias("pos"), "term"), spark.read.parquet(f"{path}/lengths"))
+    schemas = {
+        "documents": f"doc_id {id_type}, len bigint, words array<string>",
+        "postings": f"term string, doc_id {id_type}, tf bigint, len bigint, positions array<int>",
+        "vocabulary": "term string, cf bigint, df bigint",
+        "totals": "n_docs bigint, n_tokens bigint",
+    }
+    tables = {t: spark.read.schema(s).parquet(f"{path}/{t}") for t, s in schemas.items()}
+    return Index(tables.pop("documents"), tables)
+
+
+def mark(spark: SparkSession, source: str) -> tuple:
+    """What tells the files of a table from those it had before: path, bytes, files and time."""
+    system, where = file_system(spark, source)
+    content = system.getContentSummary(where)
+    return source, content.getLength(), content.getFileCount(), system.getFileStatus(where).getModificationTime()
+
+
+def stored(spark: SparkSession, source: str, columns: dict[str, str], **settings) -> Index:
+    """The written index of the parquet table `source`, built when there is none for its files and settings.
+
+    columns names the table's id and text. It stands in the shared folder under a key of path, size, files and time of
+    the table and of the settings; it is built beside its place and moved there when complete.
+    """
+    key = [LAYOUT, *mark(spark, source), sorted(columns.items()), sorted((k, str(v)) for k, v in settings.items())]
+    path = f"{shared_folder(spark)}/index/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+    system, place = file_system(spark, path)
+    if not system.exists(place):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        docs = spark.read.parquet(source).select(F.col(columns["id"]).cast("bigint").alias("doc_id"), F.col(columns["text"]).alias("text"))
+        build(docs, **settings).save(fresh)
+        if not system.rename(file_system(spark, fresh)[1], place):
+            system.delete(file_system(spark, fresh)[1], True)
+    return load(spark, path)
 
 
 def for_terms(index: Index, terms: DataFrame) -> DataFrame:
-    """Tokens of the given terms(term) only."""
-    return index.tokens.join(terms.select("term").distinct(), "term", "left_semi")
+    """Postings of the given terms(term) only."""
+    return restricted(index.postings(), "term", terms)
 
 
 def term_counts(index: Index, terms: DataFrame) -> DataFrame:
     """term, doc_id, tf, len, cf, total of each given term."""
-    tf = for_terms(index, terms).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return tf.join(cf, "term").join(index.lengths, "doc_id").join(index.totals().select(F.col("n_tokens").alias("total"))).select("term", "doc_id", "tf", "len", "cf", "total")
+    found = for_terms(index, terms).select("term", "doc_id", "tf", "len")
+    return found.join(restricted(index.vocabulary(), "term", terms).select("term", "cf"), "term").join(index.totals().select(F.col("n_tokens").alias("total"))).select("term", "doc_id", "tf", "len", "cf", "total")
 
 
 def term_positions(index: Index, terms: DataFrame) -> DataFrame:
-    return Index(for_terms(index, terms), index.lengths).postings()
+    return for_terms(index, terms).select("term", "doc_id", "tf", "positions")
 
 
 def vocabulary_listing(index: Index) -> DataFrame:
@@ -89,10 +199,9 @@ def repository_stats(index: Index) -> DataFrame:
 
 
 def document_vectors(index: Index, keep_oov: bool = True) -> DataFrame:
-    """doc_id and its terms in order, joined by blanks; without OOV places on request."""
-    tokens = index.tokens if keep_oov else index.tokens.where(F.col("term") != OOV)
-    inside = F.sort_array(F.collect_list(F.struct("pos", "term")))
-    return tokens.groupBy("doc_id").agg(F.array_join(F.transform(inside, lambda s: s["term"]), " ").alias("terms"))
+    """doc_id and its terms in order, joined by blanks; without OOV places on request. Documents without terms are left out."""
+    words = F.col("words") if keep_oov else F.filter("words", lambda w: w != OOV)
+    return index.documents.select("doc_id", words.alias("words")).where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("terms"))
 
 
 def document_map(docs: DataFrame, docno: Column | None = None) -> DataFrame:
@@ -100,31 +209,49 @@ def document_map(docs: DataFrame, docno: Column | None = None) -> DataFrame:
     return docs.select("doc_id", (F.concat(F.lit("D"), F.col("doc_id").cast("string")) if docno is None else docno).alias("docno"))
 
 
+def metadata(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """doc_id, key, value of the named fields that are not null; keys that start with # are internal and left out."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in fields.items()])
+    rows = docs.select("doc_id", F.explode(pairs).alias("s")).select("doc_id", "s.key", "s.value")
+    return rows.where(~F.col("key").startswith("#") & F.col("value").isNotNull())
+
+
+def by_metadata(table: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """value, doc_id of metadata(doc_id, key, value) whose key has one of values(value)."""
+    return restricted(table.where(F.col("key") == key), "value", values).select("value", "doc_id")
+
+
 def named(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Records of the documents whose external names names(docno) lists."""
-    return document_map(docs).join(names.select("docno").distinct(), "docno", "left_semi").join(docs, "doc_id")
+    """Records of the documents whose external names names(docno) lists, with those names."""
+    return restricted(document_map(docs), "docno", names).join(docs, "doc_id")
 
 
 def validate(index: Index) -> DataFrame:
-    """One row: documents whose token rows differ from their length, and whether all documents are counted once."""
-    counted = index.tokens.groupBy("doc_id").agg(F.count("*").alias("seen"))
+    """One row: documents whose postings differ from their length, and whether all documents are counted once."""
+    counted = index.postings().groupBy("doc_id").agg(F.sum("tf").alias("seen"))
     each = index.lengths.join(counted, "doc_id", "left").select((F.coalesce("seen", F.lit(0)) != F.col("len")).alias("differs"), "doc_id")
     return each.agg(F.count("*").alias("n_docs"), F.count_if("differs").alias("n_mismatches"), (F.count("*") - F.count_distinct("doc_id")).alias("n_repeated"))
 
 
 def merge(*parts: Index) -> Index:
     """All documents of the parts, ids moved up so that no two parts share one: part k gets id * len(parts) + k."""
-    move = lambda df, k: df.withColumn("doc_id", F.col("doc_id") * len(parts) + k)
-    tokens, lengths = move(parts[0].tokens, 0), move(parts[0].lengths, 0)
-    for k, p in enumerate(parts[1:], 1):
-        tokens, lengths = tokens.unionByName(move(p.tokens, k)), lengths.unionByName(move(p.lengths, k))
-    return Index(tokens, lengths)
+    moved = [p.documents.withColumn("doc_id", F.col("doc_id") * len(parts) + k) for k, p in enumerate(parts)]
+    out = moved[0]
+    for df in moved[1:]:
+        out = out.unionByName(df)
+    return Index(out)
 
 
 def delete(index: Index, gone: DataFrame) -> Index:
     """The index without the documents of gone(doc_id); saving it compacts."""
     gone = gone.select("doc_id").distinct()
-    return Index(index.tokens.join(gone, "doc_id", "left_anti"), index.lengths.join(gone, "doc_id", "left_anti"))
+    left = {"postings": index.tables["postings"].join(gone, "doc_id", "left_anti")} if "postings" in index.tables else {}
+    return Index(index.documents.join(gone, "doc_id", "left_anti"), left)
+
+
+def stemmed_vocabulary(index: Index, stemmer=tx.stem) -> DataFrame:
+    """stem, cf, n_terms: the vocabulary by stem, each term stemmed once."""
+    return index.vocabulary().groupBy(stemmer(F.col("term")).alias("stem")).agg(F.sum("cf").alias("cf"), F.count("*").alias("n_terms"))
 
 
 def stemmed_edges(edges: DataFrame, stemmer=tx.stem) -> DataFrame:
@@ -136,7 +263,23 @@ def stemmed_edges(edges: DataFrame, stemmer=tx.stem) -> DataFrame:
 def field_extents(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """Lines as fields: doc_id, field number, begin and end (exclusive) token places."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("number", "line")).select("doc_id", "number", F.size(tx.tokens(F.col("line"))).alias("size"))
-    from pyspark.sql import Window
-
     end = F.sum("size").over(Window.partitionBy("doc_id").orderBy("number"))
     return lines.select("doc_id", "number", (end - F.col("size") + 1).alias("begin"), (end + 1).alias("end"))
+
+
+def tagged_fields(docs: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """Named fields of marked-up texts: doc_id, field, number from 0, begin and end (exclusive) token places.
+
+    docs(doc_id, text); a field is what stands between <tag ...> and the next </tag>, its places count the words of the
+    text without markup. A null text has none.
+    """
+    bare = lambda t: F.size(tx.tokens(F.regexp_replace(t, "<[^>]*>", " ")))
+    out = None
+    for tag in tags:
+        parts = docs.select("doc_id", F.posexplode(F.split("text", f"(?i)<{tag}(?:\\s[^>]*)?>")).alias("number", "part"))
+        inside = F.split("part", f"(?i)</{tag}\\s*>", 2)[0]
+        sized = parts.select("doc_id", "number", bare(F.col("part")).alias("all"), bare(inside).alias("own"))
+        before = F.coalesce(F.sum("all").over(Window.partitionBy("doc_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = sized.withColumn("begin", before + 1).where("number > 0").select("doc_id", F.lit(tag).alias("field"), (F.col("number") - 1).alias("number"), "begin", (F.col("begin") + F.col("own")).alias("end"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

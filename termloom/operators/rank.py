@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from termloom.functions import beliefs
 from termloom.operators import windows
 from termloom.operators.index import Index
+from termloom.operators.settle import Side, settled
 
 
 @dataclass(frozen=True)
@@ -32,39 +33,46 @@ class Smoothing:
         return F.ln(share if self.lam is None else (1 - F.lit(self.lam)) * share + F.lit(self.lam))
 
 
-def matches(index: Index, leaves: DataFrame, kinds: tuple[tuple[str, int], ...] = (("term", 0),)) -> DataFrame:
-    """expr_id, doc_id, tf of the leaves' expressions; kinds names the (kind, width) that occur among them."""
+def matches(index: Index, leaves: DataFrame, kinds: tuple[tuple[str, int], ...] | None = None) -> DataFrame:
+    """expr_id, doc_id, len, tf of the leaves' expressions; kinds names the (kind, width) among them, found if not given."""
+    if kinds is None:
+        kinds = tuple((r.kind, r.width) for r in leaves.select("kind", "width").distinct().orderBy("kind", "width").collect())  # kinds and widths of a query language
     out = None
     for kind, width in kinds:
-        own = leaves.where((F.col("kind") == kind) & (F.col("width") == width)).select("expr_id", "terms").distinct()
+        own = leaves.where((F.col("kind") == kind) & (F.col("width") == width)).select("expr_id", "terms").dropDuplicates(["expr_id"])
         if kind == "term":
-            terms = own.select("expr_id", F.get("terms", F.lit(0)).alias("term"))
-            found = index.tokens.join(terms, "term").groupBy("expr_id", "doc_id").agg(F.count("*").alias("tf"))
+            found = windows.single_terms(index, own)
+        elif kind == "tree":
+            found = windows.trees(index, [r.expr_id for r in own.select("expr_id").collect()])  # a stated list
         elif kind == "od":
             found = windows.ordered_window(index, own, width)
         elif width:
             found = windows.unordered_window(index, own, width)
         else:
             found = windows.whole_document(index, own)
+        found = found.select("expr_id", "doc_id", "len", "tf")
+        found = found if kind == "term" else settled(found)
         out = found if out is None else out.unionByName(found)
-    return out
+    return windows.single_terms(index, leaves).select("expr_id", "doc_id", "len", "tf") if out is None else out
 
 
-def scores(index: Index, leaves: DataFrame, smoothing: Smoothing = Smoothing(), kinds: tuple = (("term", 0),), working_set: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score (6 decimals) of documents with a leaf; only those of working_set(qid, doc_id) if given."""
+def scores(index: Index, leaves: DataFrame, smoothing: Smoothing = Smoothing(), kinds: tuple | None = (("term", 0),), working_set: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """qid, doc_id, score of documents with a leaf; only those of working_set(qid, doc_id) or of working_set(doc_id) if given."""
     found = matches(index, leaves, kinds)
     cf = found.groupBy("expr_id").agg(F.sum("tf").alias("cf"))
     total = index.totals().select("n_tokens")
     leaf = leaves.groupBy("qid", "expr_id").agg(F.sum("weight").alias("w")).join(cf, "expr_id", "left").join(total)
-    leaf = leaf.select("qid", "expr_id", "w", beliefs.background(F.coalesce("cf", F.lit(0)), F.col("n_tokens")).alias("p"))
+    side = Side(leaf.select("qid", "expr_id", "w", beliefs.background(F.coalesce("cf", F.lit(0)), F.col("n_tokens")).alias("p")))
+    leaf = side.frame
     constant = leaf.groupBy("qid").agg(F.sum(F.col("w") * F.ln("p")).alias("base"), F.sum("w").alias("weight"))
+    if working_set is not None and "qid" not in working_set.columns:
+        found = found.join(working_set.select("doc_id").distinct(), "doc_id", "left_semi")
     hits = found.join(leaf, "expr_id")
-    if working_set is not None:
+    if working_set is not None and "qid" in working_set.columns:
         hits = hits.join(working_set.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
-    hits = hits.join(index.lengths, "doc_id")
     gain = F.col("w") * (smoothing.belief(F.col("tf"), F.col("len"), F.col("p")) - F.ln("p") - smoothing.absent(F.col("len")))
     each = hits.groupBy("qid", "doc_id").agg(F.sum(gain).alias("gain"), F.first("len").alias("len"))
-    return each.join(constant, "qid").select("qid", "doc_id", F.round(F.col("base") + F.col("weight") * smoothing.absent(F.col("len")) + F.col("gain"), 6).alias("score"))
+    return each.join(F.broadcast(constant) if side.few else constant, "qid").select("qid", "doc_id", F.round(F.col("base") + F.col("weight") * smoothing.absent(F.col("len")) + F.col("gain"), digits).alias("score"))
 
 
 def top(scored: DataFrame, count: int, by: str = "qid") -> DataFrame:
@@ -78,14 +86,19 @@ def rank(index: Index, leaves: DataFrame, count: int = 1000, **options) -> DataF
     return top(scores(index, leaves, **options), count)
 
 
+def as_lists(run: DataFrame) -> DataFrame:
+    """qid, docnos, scores: run(qid, docno, rank, score) as one list a query, best first; a run holds so many a query at most."""
+    rows = run.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "docno", "score"))).alias("all"))
+    return rows.select("qid", F.transform("all", lambda s: s["docno"]).alias("docnos"), F.transform("all", lambda s: s["score"]).alias("scores"))
+
+
 def feedback_terms(index: Index, run: DataFrame, docs: int = 28, terms: int = 30) -> DataFrame:
     """qid, term, weight (8 decimals): P(term | doc) over the best documents, each weighted by its share of exp(score)."""
     best = run.where(F.col("rank") <= docs)
     share = F.exp("score") / F.sum(F.exp("score")).over(Window.partitionBy("qid"))
-    best = best.select("qid", "doc_id", share.alias("share")).join(index.lengths, "doc_id")
-    tokens = index.tokens.select("doc_id", "term").join(best.select("doc_id").distinct(), "doc_id", "left_semi")
-    tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    weights = tf.join(best, "doc_id").groupBy("qid", "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("len")), 8).alias("weight"))
+    best = Side(best.select("qid", "doc_id", share.alias("share")))
+    words = best.restrict(index.documents, "doc_id").join(best.frame, "doc_id").select("qid", (F.col("share") / F.col("len")).alias("share"), F.explode("words").alias("term"))
+    weights = words.groupBy("qid", "term").agg(F.round(F.sum("share"), 8).alias("weight"))
     order = Window.partitionBy("qid").orderBy(F.desc("weight"), "term")
     return weights.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= terms).drop("_r")
 

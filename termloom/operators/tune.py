@@ -16,17 +16,22 @@ def grid(spark: SparkSession, axes: dict[str, Sequence[float]]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(["point long", *(f"{a} double" for a in axes)]))
 
 
+def drawn(width: int, count: int, seed: int = 0) -> np.ndarray:
+    """`count` rows of `width` uniform draws, each row summing to one."""
+    values = np.random.default_rng(seed).random((count, width))
+    return values / values.sum(axis=1, keepdims=True)
+
+
 def draws(spark: SparkSession, names: Sequence[str], count: int, seed: int = 0) -> DataFrame:
     """point and weights of `count` uniform draws that sum to one."""
-    values = np.random.default_rng(seed).random((count, len(names)))
-    values /= values.sum(axis=1, keepdims=True)
+    values = drawn(len(names), count, seed)
     return spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(values)], ", ".join(["point long", *(f"{a} double" for a in names)]))
 
 
 def weighted(features: DataFrame, points: DataFrame, names: Sequence[str], digits: int = 10) -> DataFrame:
     """point, qid, concept, score of every point's weights: a few points, so each feature row meets all of them."""
     score = sum((F.col(f"features.{n}") * F.col(f"points.{n}") for n in names), F.lit(0.0))
-    return features.alias("features").join(points.alias("points")).select("point", "qid", "concept", F.round(score, digits).alias("score"))
+    return features.alias("features").join(F.broadcast(points.alias("points"))).select("point", "qid", "concept", F.round(score, digits).alias("score"))
 
 
 def best(results: DataFrame, value: str = "map", point: str = "point"):

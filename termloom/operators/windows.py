@@ -1,60 +1,190 @@
-"""Matches of proximity expressions: ordered windows, unordered windows and whole-document co-occurrence.
+"""Matches of proximity expressions as extents: ordered windows, unordered windows and whole-document co-occurrence.
 
-Expressions are exprs(expr_id, terms array<string>). Only tokens of their terms are read; all of a document's places of
-an expression meet in one row, so that matching needs one shuffle by (expr_id, doc_id) and no join of places with places.
-A match is counted once for each place of its first (ordered) or earliest (unordered) word.
+An extent is a stretch of token places, begin inclusive and end exclusive. Flat expressions are exprs(expr_id, terms
+array<string>); nested ones are trees, solved from the terms up, each level's extents being the next one's words. All of a
+document's places of an expression meet in one row and are matched by merging sorted places, a batch of rows at a time.
+A match is counted once for each place where its first (ordered) or earliest (unordered) part begins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from termloom.operators import query
 from termloom.operators.index import Index
-
-
-def _places(index: Index, exprs: DataFrame) -> DataFrame:
-    """expr_id, doc_id, size and places[k]: the sorted places of the k-th term, for documents that hold all terms."""
-    each = exprs.select("expr_id", F.size("terms").alias("size"), F.posexplode("terms").alias("k", "term"))
-    found = index.tokens.join(each, "term").groupBy("expr_id", "size", "doc_id", "k").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-    rows = found.groupBy("expr_id", "size", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "pos"))).alias("all"))
-    return rows.where(F.size("all") == F.col("size")).select("expr_id", "doc_id", "size", F.transform("all", lambda s: s["pos"]).alias("places"))
-
-
-def _ordered(places: Column, n: int) -> Column:
-    """Starts from which each next term follows at most n places later: chained from the last term back."""
-
-    def back(reached: Column, at: Column) -> Column:
-        return F.filter(at, lambda p: F.exists(reached, lambda q: (q > p) & (q <= p + n)))
-
-    turned = F.reverse(places)
-    return F.aggregate(F.slice(turned, 2, F.greatest(F.size(turned) - 1, F.lit(0))), F.element_at(turned, 1), back)
+from termloom.operators.settle import Side, settled, small
+
+#: Further than any place in a document.
+FAR = 1 << 40
+
+
+def _parts(index: Index, exprs: DataFrame) -> DataFrame:
+    """expr_id, doc_id, len and begins[k]: the sorted places of the k-th term, for documents that hold all terms.
+
+    Postings of the terms are shuffled once, by document; an expression visits the documents of its rarest term only.
+    """
+    exprs = exprs.select("expr_id", "terms").where(F.size("terms") > 0).dropDuplicates(["expr_id"])
+    each = exprs.select("expr_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = Side(each)
+    df = asked.restrict(index.vocabulary(), "term").select("term", "df")
+    rare = asked.frame.join(df, "term", "left").groupBy("expr_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rare"))
+    held = asked.restrict(index.postings(), "term")
+    visits = held.select(F.col("term").alias("rare"), "doc_id").join(exprs.join(rare, "expr_id"), "rare").drop("rare")
+    docs = held.groupBy("doc_id").agg(F.first("len").alias("len"), F.collect_list(F.struct("term", "positions")).alias("at"))
+    at = F.transform("terms", lambda t: F.get(F.filter("at", lambda x: x["term"] == t), F.lit(0))["positions"])
+    return visits.join(docs, "doc_id").select("expr_id", "doc_id", "len", at.alias("begins")).where(F.forall("begins", lambda p: p.isNotNull()))
+
+
+def _ordered(begins: list, ends: list, rows: list, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, begins and least ends of chains in which each next part begins within `width` places after the one before."""
+    row, begin, last = rows[-1], begins[-1], ends[-1]
+    for k in range(len(begins) - 2, -1, -1):
+        key = row * FAR + begin
+        lo = np.searchsorted(key, rows[k] * FAR + ends[k], side="left")
+        hi = np.searchsorted(key, rows[k] * FAR + np.minimum(ends[k] + width[rows[k]], FAR - 1), side="left")
+        best = np.full(len(lo), FAR)
+        while (open_ := lo < hi).any():
+            best[open_] = np.minimum(best[open_], last[lo[open_]])
+            lo += open_
+        keep = best < FAR
+        row, begin, last = rows[k][keep], begins[k][keep], best[keep]
+    return row, begin, last
+
+
+def _unordered(begins: list, ends: list, rows: list, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, begins and least ends of stretches of `width` places at most that hold an extent of every part."""
+    starts = np.unique(np.concatenate([r * FAR + b for r, b in zip(rows, begins)]))
+    row, place = np.divmod(starts, FAR)
+    end = np.zeros(len(starts), np.int64)
+    for r, b, e in zip(rows, begins, ends):
+        least = np.append(np.minimum.accumulate((r * FAR + e)[::-1])[::-1], np.iinfo(np.int64).max)
+        at = np.searchsorted(r * FAR + b, starts, side="left")
+        own = np.append(r, -1)[at] == row
+        end = np.maximum(end, np.where(own, least[at] - row * FAR, FAR))
+    keep = end - place <= width[row]
+    return row[keep], place[keep], end[keep]
+
+
+def _whole(begins: list, ends: list, rows: list, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As many matches as the rarest part has; the k-th spans the k-th extents of all parts."""
+    n = np.min([np.bincount(r, minlength=len(width)) for r in rows], axis=0)
+    row = np.repeat(np.arange(len(width)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = [np.searchsorted(r, row, side="left") + k for r in rows]
+    return row, np.min([b[f] for b, f in zip(begins, first)], axis=0), np.max([e[f] for e, f in zip(ends, first)], axis=0)
+
+
+def _match(batches: Iterator[pa.RecordBatch], kind: str, width: int) -> Iterator[pa.RecordBatch]:
+    solve = {"od": _ordered, "uw": _unordered, "all": _whole}[kind]
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("begins"))
+        outer = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0] if len(lists) else np.zeros(1, np.int64)
+        inner = lists.flatten()
+        bounds = np.asarray(inner.offsets).astype(np.int64)
+        begin = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        shift = batch.schema.get_field_index("ends")
+        end = begin + 1 if shift < 0 else batch.column(shift).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = bounds - bounds[0] if len(bounds) else bounds
+        found: list[tuple] = []
+        sizes = np.diff(outer)
+        for parts in np.unique(sizes[sizes > 0]):
+            own = np.flatnonzero(sizes == parts)
+            begins, ends, rows = [], [], []
+            for k in range(parts):
+                lo, n = bounds[outer[own] + k], np.diff(bounds)[outer[own] + k]
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rows.append(np.repeat(np.arange(len(own)), n))
+                begins.append(begin[at])
+                ends.append(end[at])
+            row, b, e = solve(begins, ends, rows, np.full(len(own), width or FAR))
+            found.append((own[row], b, e))
+        if not found:
+            continue
+        row, b, e = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((b, row))
+        row, b, e = row[order], b[order], e[order]
+        at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        cuts = pa.array(np.append(at, len(row)).astype(np.int32))
+        owner = pa.array(row[at])
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (b, e)]
+        fixed = [batch.column(batch.schema.get_field_index(c)).take(owner) for c in ("expr_id", "doc_id", "len")]
+        yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.diff(np.append(at, len(row))).astype(np.int64)), *lists], names=["expr_id", "doc_id", "len", "tf", "begins", "ends"])
+
+
+def _solved(parts: DataFrame, kind: str, width: int) -> DataFrame:
+    """expr_id, doc_id, len, tf, begins, ends of the rows that match."""
+    places = T.ArrayType(T.IntegerType())
+    schema = T.StructType([parts.schema[c] for c in ("expr_id", "doc_id", "len")] + [T.StructField("tf", T.LongType()), T.StructField("begins", places), T.StructField("ends", places)])
+    return parts.mapInArrow(lambda batches: _match(batches, kind, width), schema)
 
 
 def ordered_window(index: Index, exprs: DataFrame, n: int) -> DataFrame:
-    """expr_id, doc_id, tf of #odN: terms in order, gaps of n places at most."""
-    return _places(index, exprs).select("expr_id", "doc_id", F.size(_ordered(F.col("places"), n)).cast("long").alias("tf")).where("tf > 0")
+    """expr_id, doc_id, len, tf, begins, ends of #odN: terms in order, each next at most n places later; n = 0: however far."""
+    return _solved(_parts(index, exprs), "od", n)
 
 
 def unordered_window(index: Index, exprs: DataFrame, n: int) -> DataFrame:
-    """expr_id, doc_id, tf of #uwN: all terms within n places, counted by the place of the earliest."""
-
-    def starts(places: Column) -> Column:
-        every = F.array_distinct(F.flatten(places))
-        return F.filter(
-            every,
-            lambda p: F.forall(places, lambda at: F.exists(at, lambda q: (q >= p) & (q < p + n))),
-        )
-
-    return _places(index, exprs).select("expr_id", "doc_id", F.size(starts(F.col("places"))).cast("long").alias("tf")).where("tf > 0")
+    """expr_id, doc_id, len, tf, begins, ends of #uwN: all terms within n places, counted by the place of the earliest."""
+    return _solved(_parts(index, exprs), "uw", n)
 
 
 def whole_document(index: Index, exprs: DataFrame) -> DataFrame:
-    """expr_id, doc_id, tf of #uw without a width: as often as the rarest term occurs."""
-    each = exprs.select("expr_id", F.size(F.array_distinct("terms")).alias("size"), F.explode(F.array_distinct("terms")).alias("term"))
-    tf = index.tokens.join(each, "term").groupBy("expr_id", "size", "doc_id", "term").agg(F.count("*").alias("tf"))
-    rows = tf.groupBy("expr_id", "size", "doc_id").agg(F.count("*").alias("n"), F.min("tf").alias("tf"))
-    return rows.where("n = size").select("expr_id", "doc_id", "tf")
+    """expr_id, doc_id, len, tf, begins, ends of #uw without a width: as often as the rarest term occurs."""
+    return _solved(_parts(index, exprs.withColumn("terms", F.array_distinct("terms"))), "all", 0)
+
+
+def single_terms(index: Index, exprs: DataFrame) -> DataFrame:
+    """expr_id, doc_id, len, tf, begins, ends of one-word expressions."""
+    asked = Side(exprs.select("expr_id", F.get("terms", F.lit(0)).alias("term")))
+    found = asked.restrict(index.postings(), "term").join(asked.frame, "term")
+    return found.select("expr_id", "doc_id", "len", "tf", F.col("positions").alias("begins"), F.transform("positions", lambda p: p + 1).alias("ends"))
+
+
+def trees(index: Index, expressions: list[str]) -> DataFrame:
+    """expr_id (the expression's text), doc_id, len, tf, begins, ends of window expressions of any depth.
+
+    The expressions are a stated list. Raises ValueError where an operator that has no extents stands in a window.
+    """
+    spark = index.documents.sparkSession
+    nodes: dict[str, query.Node] = {}
+    level: dict[str, int] = {}
+
+    def place(node: query.Node) -> str:
+        key = query.window_key(node)
+        if key not in nodes:
+            below = [place(p) for p in node.parts]
+            nodes[key], level[key] = node, 1 + max((level[b] for b in below), default=-1)
+        return key
+
+    roots = {text: place(query.parse(text)) for text in expressions}
+    leaves = [(k, [n.term]) for k, n in nodes.items() if n.op == "term"]
+    done = single_terms(index, spark.createDataFrame(leaves, "expr_id string, terms array<string>"))
+    for depth in range(1, max(level.values(), default=0) + 1):
+        found = None
+        shape = {k: ("all" if n.op == "uw" and not n.width else n.op, n.width) for k, n in nodes.items() if level[k] == depth}
+        for kind, width in sorted(set(shape.values())):
+            own = [(k, nodes[k]) for k, s in shape.items() if s == (kind, width)]
+            links = [(k, i, len(n.parts), query.window_key(p)) for k, n in own for i, p in enumerate(n.parts)]
+            links = small(spark.createDataFrame(links, "parent string, k int, size int, expr_id string"))
+            met = done.join(links, "expr_id").groupBy("parent", "size", "doc_id").agg(F.first("len").alias("len"), F.sort_array(F.collect_list(F.struct("k", "begins", "ends"))).alias("all"))
+            met = met.where(F.size("all") == F.col("size")).select(F.col("parent").alias("expr_id"), "doc_id", "len", F.transform("all", lambda s: s["begins"]).alias("begins"), F.transform("all", lambda s: s["ends"]).alias("ends"))
+            solved = _solved(met, kind, width)
+            found = solved if found is None else found.unionByName(solved)
+        done = settled(done.unionByName(found))
+    names = small(spark.createDataFrame([(t, k) for t, k in roots.items()], "text string, expr_id string"))
+    return done.join(names, "expr_id").drop("expr_id").withColumnRenamed("text", "expr_id").select("expr_id", "doc_id", "len", "tf", "begins", "ends")
+
+
+def extents(matches: DataFrame) -> DataFrame:
+    """expr_id, doc_id, begin, end of each match."""
+    rows = matches.select("expr_id", "doc_id", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
+    return rows.select("expr_id", "doc_id", F.col("s.begins").alias("begin"), F.col("s.ends").alias("end"))
 
 
 def collection_counts(matches: DataFrame) -> DataFrame:
@@ -62,6 +192,19 @@ def collection_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("expr_id").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
-def restricted(matches: DataFrame, docs: DataFrame) -> DataFrame:
+def listed(matches: DataFrame, names: DataFrame) -> DataFrame:
+    """expr_id, docnos: the external names, by names(doc_id, docno), of all matches' documents, once a match, in order."""
+    each = matches.join(names, "doc_id").select("expr_id", F.struct("docno", "tf").alias("s"))
+    lists = each.groupBy("expr_id").agg(F.sort_array(F.collect_list("s")).alias("all"))
+    return lists.select("expr_id", F.flatten(F.transform("all", lambda s: F.array_repeat(s["docno"], s["tf"].cast("int")))).alias("docnos"))
+
+
+def restricted_to(matches: DataFrame, docs: DataFrame) -> DataFrame:
     """Matches in the documents of docs(expr_id, doc_id) only."""
     return matches.join(docs.select("expr_id", "doc_id").distinct(), ["expr_id", "doc_id"], "left_semi")
+
+
+def brief_list(matches: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+    """expr_id, n (all matches in the collection) and docnos of those in the feedback documents docs(expr_id, doc_id)."""
+    near = listed(restricted_to(matches, docs), names)
+    return collection_counts(matches).select("expr_id", "n").join(near, "expr_id", "left").withColumn("docnos", F.coalesce("docnos", F.array().cast("array<string>")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.operators import graph, index
+from termloom.plans.format_queries import _Text
 from termloom.plans.collection import collection, sql, table, topic_terms
 
 STOP = ("the", "of", "and", "in", "to", "de", "la", "der", "die", "und")
@@ -19,12 +20,12 @@ def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
     ix = collection(spark, d)
-    return index.term_counts(ix, topic_terms(spark, d, ix))
+    return index.term_counts(ix, topic_terms(spark, d))
 
 
 def term_positions(spark: SparkSession, d: str) -> DataFrame:
     ix = collection(spark, d)
-    return index.term_positions(ix, topic_terms(spark, d, ix)).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return index.term_positions(ix, topic_terms(spark, d)).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def vocabulary_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +123,12 @@ def stemmed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [tokenize_docs, term_counts, term_positions, vocabulary_stats, inverted_lists, repository_stats, document_vector, document_csv, document_map, document_lengths, index_validate, index_merge, index_delete, field_extents, normalize_text, edge_last_wins, name_filter, type_filter_semi, multiplicity_filter, json_props, html_title, stemmed_edges]
-_STEM = lambda c: f"array_to_string(list_transform(string_split({c}, ' '), lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '(?:ies|es|s|ing|ed)$', '') ELSE x END), ' ')"
+_STEM = lambda c: f"array_to_string(list_transform(string_split({c}, ' '), lambda x: {tx.porter('x', _Text)}), ' ')"
 _PUNCT = r"[!-/:-@\[-`{-~]"
 ORACLES = {
     "tokenize_docs": sql("tok", "SELECT doc_id, pos, term FROM tok"),
-    "term_counts": sql("top tot len", "SELECT t.term, t.doc_id, t.tf, l.len, v.cf, n_tokens AS total FROM tf t JOIN voc v ON v.term = t.term JOIN lens l ON l.doc_id = t.doc_id, tot WHERE t.term IN (SELECT term FROM topics)"),
-    "term_positions": sql("top", "SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tok WHERE term IN (SELECT term FROM topics) GROUP BY term, doc_id"),
+    "term_counts": sql("top voc tot len", "SELECT t.term, t.doc_id, t.tf, l.len, v.cf, n_tokens AS total FROM tf t JOIN voc v ON v.term = t.term JOIN lens l ON l.doc_id = t.doc_id, tot WHERE t.term IN (SELECT term FROM topics)"),
+    "term_positions": sql("top tok", "SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tok WHERE term IN (SELECT term FROM topics) GROUP BY term, doc_id"),
     "vocabulary_stats": sql("voc tot", "SELECT term, cf, df FROM voc UNION ALL SELECT 'TOTAL', n_tokens, n_docs FROM tot"),
     "inverted_lists": sql("tok", "SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id"),
     "repository_stats": sql("voc tot", "SELECT n_docs, (SELECT count(*) FROM voc) AS n_unique, n_tokens FROM tot"),

@@ -65,9 +65,9 @@ def type_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def concept_edges(spark: SparkSession, path: str) -> DataFrame:
-    """rel, src, dst and line (order in the file) of a comma-separated edge file."""
+    """rel, src, dst and line of a comma-separated edge file; line orders rows by file, part of the file and place in the part."""
     rows = spark.read.csv(path, schema="rel STRING, src STRING, dst STRING", sep=",")
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    return rows.select("rel", "src", "dst", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("line"))
 
 
 def document_names(spark: SparkSession, path: str) -> DataFrame:
@@ -128,8 +128,42 @@ def annotations(rows: DataFrame) -> DataFrame:
     return each.select("qid", value(F.get("kept", F.col("k") + 1)).alias("cui"), value(F.get("kept", F.col("k"))).alias("name"), F.trim(F.translate(value(F.get("kept", F.col("k") + 2)), "[]", "")).alias("sty"))
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines that are not empty, repeated ones as often as they occur."""
+    return spark.read.text(path).where("value <> ''")
+
+
 def distinct_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).where("value <> ''").distinct()
+    return lines(spark, path).distinct()
+
+
+def curves(spark: SparkSession, path: str, names: list[str], header: bool) -> DataFrame:
+    """Comma-separated doubles with or without a header line, columns named by `names`; blanks and words are null."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.csv(path, schema=schema, header=header, enforceSchema=True)
+    return rows.select(*[F.col(n).try_cast("double").alias(n) for n in names])
+
+
+def write_lines(lines_: DataFrame, path: str) -> None:
+    """The column value as text, one part a task."""
+    lines_.select("value").write.mode("overwrite").text(path)
+
+
+def write_ordered(lines_: DataFrame, path: str) -> None:
+    """lines_(at, value) as text in order of `at`: parts by ranges of it, so that the parts in order of name are one file."""
+    lines_.repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
+def expression_batch(exprs: DataFrame, command: str) -> DataFrame:
+    """value: a batch file's lines for a command over exprs(text): each distinct expression once, odd characters blanked."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\w#(),:\-\s]+", " "), r"\s+", " "))
+    return exprs.select(F.concat(F.lit(f"{command} "), clean).alias("value")).distinct()
+
+
+def expression_list_lines(brief: DataFrame) -> DataFrame:
+    """value: "expr:n,doc,doc,:asked" lines of brief(expr_id, n, docnos, asked)."""
+    docs = F.array_join(F.transform("docnos", lambda x: F.concat(x, F.lit(","))), "")
+    return brief.select(F.concat("expr_id", F.lit(":"), F.col("n").cast("string"), F.lit(","), docs, F.lit(":"), "asked").alias("value"))
 
 
 def write_run(run: DataFrame, path: str, tag: str = "termloom") -> None:

@@ -1,6 +1,8 @@
 """Small fixtures for the retrieval operators and format readers."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions import beliefs
 from termloom.functions import text as tx
 from termloom.operators import analytics, evaluate, features, graph, index, query, rank, tune, windows
+from termloom.operators.settle import Side, restricted
 from termloom.sources import formats
 
 
@@ -24,7 +27,7 @@ def test_index_tables(docs):
     ix = index.build(docs)
     assert rows(ix.vocabulary()) == [("apple", 3, 2), ("crust", 1, 1), ("pie", 2, 2), ("tart", 1, 1)]
     assert rows(ix.lengths) == [(1, 4), (2, 3), (3, 0), (4, 0)]
-    assert ("apple", 1, 2, [1, 3]) in rows(ix.postings())
+    assert ("apple", 1, 2, 4, [1, 3]) in rows(ix.postings())
     assert index.repository_stats(ix).first() == (4, 4, 7)
     assert index.validate(ix).first() == (4, 0, 0)
 
@@ -48,10 +51,72 @@ def test_stop_words_and_vectors(docs):
 def test_windows(docs, spark):
     ix = index.build(docs)
     exprs = spark.createDataFrame([("pa", ["pie", "apple"]), ("at", ["apple", "tart"])], "expr_id string, terms array<string>")
-    assert rows(windows.ordered_window(ix, exprs, 1)) == [("at", 1, 1), ("pa", 1, 1)]
-    assert rows(windows.ordered_window(ix, exprs, 2)) == [("at", 1, 1), ("pa", 1, 1), ("pa", 2, 1)]
-    assert rows(windows.unordered_window(ix, exprs, 2)) == [("at", 1, 1), ("pa", 1, 2)]
-    assert rows(windows.whole_document(ix, exprs)) == [("at", 1, 1), ("pa", 1, 1), ("pa", 2, 1)]
+    key = ("expr_id", "doc_id", "tf")
+    assert rows(windows.ordered_window(ix, exprs, 1), *key) == [("at", 1, 1), ("pa", 1, 1)]
+    assert rows(windows.ordered_window(ix, exprs, 2), *key) == [("at", 1, 1), ("pa", 1, 1), ("pa", 2, 1)]
+    assert rows(windows.unordered_window(ix, exprs, 2), *key) == [("at", 1, 1), ("pa", 1, 2)]
+    assert rows(windows.whole_document(ix, exprs), *key) == [("at", 1, 1), ("pa", 1, 1), ("pa", 2, 1)]
+    assert rows(windows.extents(windows.ordered_window(ix, exprs, 2))) == [("at", 1, 3, 5), ("pa", 1, 2, 4), ("pa", 2, 1, 4)]
+
+
+def windows_by_loop(words, node):
+    """All extents of a window by trying every begin and end: the least end for each begin."""
+    if node.op == "term":
+        return [(k, k + 1) for k, w in enumerate(words, 1) if w == node.term]
+    parts = [windows_by_loop(words, p) for p in node.parts]
+    if node.op == "uw" and not node.width:
+        return [(min(p[k][0] for p in parts), max(p[k][1] for p in parts)) for k in range(min(map(len, parts)))]
+    out = {}
+    if node.op == "uw":
+        for begin in {b for p in parts for b, _ in p}:
+            ends = [min((e for b, e in p if b >= begin), default=None) for p in parts]
+            if None not in ends and max(ends) - begin <= node.width:
+                out[begin] = max(ends)
+    else:
+        chains = [(b, e, b) for b, e in parts[0]]
+        for part in parts[1:]:
+            chains = [(b2, e2, start) for _, e, start in chains for b2, e2 in part if e <= b2 < e + (node.width or 10**6)]
+        for _, e, start in chains:
+            out[start] = min(e, out.get(start, e))
+    return sorted(out.items())
+
+
+def test_windows_against_loops(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    ix = index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    expressions = ["#od2(a b)", "#od(a b c)", "#3(a b a)", "#uw4(a b c)", "#uw(a #od2(b c))", "#uw9(#od2(a b) #uw3(c d))", "#od5(#uw3(a b) #od1(c d) e)", "#uw6(#4( a ) b)", "#od1(z a)"]
+    got = {}
+    for r in windows.extents(windows.trees(ix, expressions)).collect():
+        got.setdefault((r.expr_id, r.doc_id), []).append((r.begin, r.end))
+    want = {(x, d): found for x in expressions for d, t in enumerate(texts) if (found := windows_by_loop(t.split(), query.parse(x)))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    flat = spark.createDataFrame([("x", ["a", "b", "c"]), ("y", ["b", "d"]), ("none", ["a", "z"])], "expr_id string, terms array<string>")
+    for name, found, op, n in (("od", windows.ordered_window(ix, flat, 3), "od", 3), ("uw", windows.unordered_window(ix, flat, 5), "uw", 5), ("all", windows.whole_document(ix, flat), "uw", 0)):
+        for r in windows.extents(found).groupBy("expr_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s")).collect():
+            terms = {"x": "abc", "y": "bd"}[r.expr_id]
+            assert [tuple(s) for s in r.s] == windows_by_loop(texts[r.doc_id].split(), query.Node(op, n, parts=[query.Node("term", term=t) for t in terms])), name
+    with pytest.raises(ValueError):
+        windows.trees(ix, ["#od4(a #combine(b c))"])
+
+
+def test_stored_index(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(1, "a b a"), (2, None)], "key long, body string").write.parquet(path)
+    first = index.stored(spark, path, {"id": "key", "text": "body"})
+    assert rows(first.vocabulary()) == [("a", 2, 1), ("b", 1, 1)] and first.totals().first() == (2, 3)
+    assert index.stored(spark, path, {"id": "key", "text": "body"}).postings().inputFiles() == first.postings().inputFiles()
+    spark.createDataFrame([(3, "c")], "key long, body string").write.mode("append").parquet(path)
+    assert rows(index.stored(spark, path, {"id": "key", "text": "body"}).vocabulary()) == [("a", 2, 1), ("b", 1, 1), ("c", 1, 1)]
+    plan = index.for_terms(first, spark.createDataFrame([("a",)], "term string"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [a])]" in plan or "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan
+
+
+def test_sides(spark):
+    table = spark.createDataFrame([("it's",), ("back\\slash",), ("c",), (None,)], "k string")
+    some = spark.createDataFrame([("it's",), ("back\\slash",), ("c",), ("c",), (None,)], "k string").where("k <> 'c'")
+    assert rows(restricted(table, "k", some)) == [("back\\slash",), ("it's",)]
+    assert restricted(table, "k", some.limit(0)).count() == 0 and Side(some.union(some)).frame.count() == 2
 
 
 def test_query_parsing():
@@ -78,6 +143,7 @@ def test_scores_against_loops(docs, spark, smoothing):
     ix = index.build(docs)
     leaves = query.leaves(spark, {"q": "#weight(0.7 #combine(apple crust) 0.3 #uw2(pie apple))"})
     got = {r.doc_id: r.score for r in rank.scores(ix, leaves, smoothing, kinds=(("term", 0), ("uw", 2))).collect()}
+    assert rank.scores(ix, leaves, smoothing, kinds=None).count() == len(got)
     tf = {1: (2, 0, 2), 2: (1, 1, 0)}
     cf, length = (3, 1, 2), {1: 4, 2: 3}
     for d, counts in tf.items():
@@ -106,11 +172,11 @@ def test_feedback(docs, spark):
 
 
 def test_normalise_and_combine(spark):
-    values = [("q", "1", 3.0, 5.0), ("q", "3", 3.2, 5.4), ("q", "5", 3.4, 5.5)]
+    values = [("q", "a", 1.0, 6.0), ("q", "b", 2.0, 3.0), ("q", "c", 3.0, 1.0)]
     frame = spark.createDataFrame(values, "qid string, concept string, two double, four double")
     normed = features.sum_to_one(frame, ("two", "four"))
-    got = {r.concept: r.score for r in features.combined(normed, {"two": 0.4, "four": 0.6}).collect()}
-    assert got == pytest.approx({"1": 0.31368, "3": 0.33711, "5": 0.34921}, abs=1e-5)
+    got = {r.concept: r.score for r in features.combined(normed, {"two": 0.3, "four": 0.7}).collect()}
+    assert got == pytest.approx({"a": 0.3 / 6 + 0.42, "b": 0.1 + 0.21, "c": 0.15 + 0.07}, abs=1e-7)
     assert rows(features.min_max(frame, ("two",)), "two") == [(0.0,), (0.5,), (1.0,)]
     zero = spark.createDataFrame([("q", "a", 0.0), ("q", "b", 0.0)], "qid string, concept string, two double")
     assert rows(features.sum_to_one(zero, ("two",)), "two") == [(0.0,), (0.0,)] == rows(features.min_max(zero, ("two",)), "two")
@@ -212,6 +278,82 @@ def test_formats(spark, tmp_path):
     assert rows(formats.runs(spark, str(tmp_path / "out"))) == [("1", "D7", 1, -5.5)]
 
 
+def test_stems(spark):
+    want = {"caresses": "caress", "ponies": "poni", "ties": "ti", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam", "operator": "oper", "hopefulness": "hope", "triplicate": "triplic", "formative": "form", "electrical": "electr", "goodness": "good", "allowance": "allow", "replacement": "replac", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "is": "is", "toy": "toi", "4x4s": "4x4s"}
+    got = dict(map(tuple, spark.createDataFrame([(w,) for w in want], "w string").select("w", tx.stem(F.col("w"))).collect()))
+    assert got == want
+
+
+def test_word_functions(spark):
+    one = lambda column: spark.range(1).select(column).first()[0]
+    assert one(tx.without_marks(F.lit("(dog's), o'neil"))) == "dog oneil" and one(tx.without_digits(F.lit("assoc2"))) == "assoc" and one(tx.capitalised(F.lit("gOV"))) == "Gov"
+    assert one(tx.concept_uri(F.lit("The United-States"))) == "/c/en/united_states"
+    there = F.create_map(F.lit("b"), F.lit("z"))
+    assert one(tx.merged_map(F.create_map(F.lit("a"), F.lit("z"), F.lit("b"), F.lit("y")), there)) == {"a": "z", "b": "z"}
+    assert one(tx.inverted_map(F.create_map(F.lit("a"), F.lit("z"), F.lit("b"), F.lit("z"), F.lit("c"), F.lit("y")))) == {"z": "b", "y": "c"}
+
+
+def features_by_loop(texts, title, concepts, top, scores, width):
+    """The features by their definitions, with phrases in order."""
+    words = [re.findall("[a-z0-9]+", t) for t in texts]
+
+    def tf(concept, d):
+        return len(windows_by_loop(words[d], query.Node("od", width, parts=[query.Node("term", term=w) for w in concept.split()])))
+
+    out, n = {}, range(len(texts))
+    for c in concepts:
+        held = [tf(c, d) for d in n]
+        own = [d for d in top if held[d]]
+        met = [[min(held[d], *(tf(t, d) for t in p)) for d in n] for p in [(t,) for t in title]]
+        pairs = [[min(held[d], *(tf(t, d) for t in p)) for d in n] for p in [(a, b) for k, a in enumerate(title) for b in title[:k]]]
+        four = lambda ms: [sum(map(sum, ms)) / len(ms), max(map(sum, ms)), sum(sum(m[d] > 0 for d in top) for m in ms) / len(ms), max(sum(m[d] > 0 for d in top) for m in ms)] if ms else [0] * 4
+        mean, most = (sum(scores[d] for d in own) / len(own), max(scores[d] for d in own)) if own else (0, 0)
+        a, p = four(met), four(pairs)
+        out[c] = [abs(x) for x in (scores[top[0]], sum(held[d] for d in top) / sum(len(words[d]) for d in top), len(own), mean, most, math.log(len(texts) / max(sum(held), 1)), *a, p[0], p[1], p[2], p[3])]
+    return out
+
+
+def test_features_against_loops(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 25))) for _ in range(20)]
+    ix = index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    title, concepts, top = ["a", "b", "zz"], ["c", "d e", "f g", "nowhere"], [3, 7, 11]
+    scores = {3: -1.5, 7: -2.0, 11: -2.5}
+    terms = spark.createDataFrame([(1, k, t) for k, t in enumerate(title, 1)], "qid long, idx long, term string")
+    run = spark.createDataFrame([(1, d, k, scores[d]) for k, d in enumerate(top, 1)], "qid long, doc_id long, rank long, score double")
+    table = spark.createDataFrame([(1, c) for c in concepts], "qid long, concept string")
+    got = {r.concept: r for r in features.concept_features(ix, terms, table, run, 10, 2).collect()}
+    want = features_by_loop(texts, title, concepts, top, scores, 2)
+    order = ("expTDocScore", "topTermFrac", "numCanDocs", "avgCDocScore", "maxCDocScore", "conIdf", "avgColCor", "maxColCor", "avgTopColCor", "maxTopColCor", "avgColPCor", "maxColPCor", "avgTopColPCor", "maxTopColPCor")
+    for c in concepts:
+        assert [got[c][f] for f in order] == pytest.approx(want[c], abs=1e-8), c
+
+
+def test_overall_rank_and_loess(spark):
+    rng = random.Random(2)
+    values = [(k, round(rng.random(), 2)) for k in range(200)]
+    ranked = analytics.overall_rank(spark.createDataFrame(values, "k long, q double").repartition(5), [F.desc("q"), F.col("k")], "place")
+    assert [r.k for r in ranked.orderBy("place").collect()] == [k for k, _ in sorted(values, key=lambda v: (-v[1], v[0]))] and ranked.agg(F.max("place")).first()[0] == 200
+    x = [0.0, 1.0, 2.0, 4.0, 7.0, 11.0]
+    y = [rng.random() for _ in x]
+    line = spark.createDataFrame([("c", a, b) for a, b in zip(x, y)], "curve string, x double, y double")
+    got = {r.x: r.smooth for r in analytics.local_regression(line, "curve", 0.7, 1).collect()}
+    for at in x:
+        reach = sorted(abs(a - at) for a in x)[4]
+        w = [max(0.0, 1 - (abs(a - at) / (reach * 1.0000001)) ** 3) ** 3 for a in x]
+        total, mx, my = sum(w), sum(a * b for a, b in zip(w, x)) / sum(w), sum(a * b for a, b in zip(w, y)) / sum(w)
+        slope = sum(a * (b - mx) * (c - my) for a, b, c in zip(w, x, y)) / sum(a * (b - mx) ** 2 for a, b in zip(w, x))
+        assert total and got[at] == pytest.approx(my + slope * (at - mx), abs=1e-6)
+
+
+def test_concept_layers(spark):
+    titles = spark.createDataFrame([("1", 0.95, ["a", "b"]), ("2", 0.95, ["c"])], "qid string, weight double, words array<string>")
+    layers = spark.createDataFrame([("1", 1, 0.05, 1, "civil war"), ("1", 2, 0.01, 1, "peace"), ("1", 2, 0.01, 2, "abc"), ("2", 1, 0.05, 1, "--- ")], "qid string, layer int, weight double, concept_rank int, concept string")
+    got = dict(map(tuple, query.concept_layers(titles, layers).collect()))
+    assert got["1"] == "#weight(0.95 #combine(a b) 0.05 #weight(1.0 #weight(0.8 #combine(civil war) 0.1 #combine(#od4(civil war)) 0.1 #uw17(civil war))) 0.01 #weight(1.0 #weight(0.8 #combine(peace) 0.1 #combine(peace) 0.1 #uw17(peace))))"
+    assert got["2"] == "#weight(0.95 #combine(c))" and query.flatten(query.parse(got["1"]))
+
+
 def test_empty_collection(spark):
     ix = index.build(spark.createDataFrame([], "doc_id long, text string"))
     assert ix.vocabulary().count() == 0 and index.repository_stats(ix).first() == (0, 0, 0)
