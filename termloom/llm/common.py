@@ -26,32 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Own folder only where spark.checkpoint.dir is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. A folder of this machine serves only where all tasks run on it (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
         found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="termloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        _file_system(spark, found)[0].deleteOnExit(_file_system(spark, found)[1])
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: a lineage cut that outlives lost executors, computed once."""
+    """df written to the shared folder and read again: a lineage cut that outlives lost executors, computed once.
+
+    The files go with drop_cut(), or else when the driver's JVM ends: plans may read them until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, where = _file_system(df.sparkSession, name)
+        system.delete(where, True)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
