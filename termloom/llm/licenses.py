@@ -24,30 +24,29 @@ from termloom.llm.common import arrow_map, batch_of, column, plain_text, slices,
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Further phrases of notices, and their labels.
 NOTICES = {
-    "apache license version 2 0": "apache-2.0",
-    "general public license version 2": "gpl-2.0",
-    "general public license version 3": "gpl-3.0",
-    "lesser general public license": "lgpl",
-    "affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "bsd license": "bsd",
-    "bsd 2 clause license": "bsd",
-    "bsd 3 clause license": "bsd",
-    "isc license": "isc",
-    "boost software license": "bsl",
-    "released into the public domain license": "public-domain",
-    "creative commons attribution license": "cc-by",
-    "licensed under cc by 4 0": "cc-by-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by nd 4 0": "cc-by-nd-4.0",
-}
-#: A word of each phrase stands here; texts without any of them have no phrase.
-ANCHORS = ("license", "licensed")
+    "apache license version 2 0": "apache-2.0", "apache 2 0 license": "apache-2.0", "licensed under the apache license": "apache", "apache software license": "apache",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit", "released under mit": "mit", "licensed under mit": "mit", "the mit licence": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc", "isc license": "isc",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd", "bsd license": "bsd", "bsd style license": "bsd",
+    "bsd 2 clause license": "bsd-2-clause", "2 clause bsd license": "bsd-2-clause", "simplified bsd license": "bsd-2-clause", "bsd 3 clause license": "bsd-3-clause", "3 clause bsd license": "bsd-3-clause", "new bsd license": "bsd-3-clause",
+    "neither the name of the copyright holder nor the names of its contributors may be used": "bsd-3-clause",
+    "general public license version 2": "gpl-2.0", "general public license version 3": "gpl-3.0", "general public license v2": "gpl-2.0", "general public license v3": "gpl-3.0",
+    "gnu gpl": "gpl", "gpl v2": "gpl-2.0", "gplv2": "gpl-2.0", "gpl version 2": "gpl-2.0", "gpl v3": "gpl-3.0", "gplv3": "gpl-3.0", "gpl version 3": "gpl-3.0",
+    "lesser general public license": "lgpl", "library general public license": "lgpl", "gnu lgpl": "lgpl", "lgpl v2 1": "lgpl-2.1", "lgplv2 1": "lgpl-2.1", "lgpl v3": "lgpl-3.0", "lgplv3": "lgpl-3.0",
+    "affero general public license": "agpl", "gnu agpl": "agpl", "agpl v3": "agpl-3.0", "agplv3": "agpl-3.0", "affero gpl": "agpl",
+    "mozilla public license": "mpl", "mozilla public license version 2 0": "mpl-2.0", "mpl 2 0": "mpl-2.0", "eclipse public license": "epl", "eclipse public license version 2 0": "epl-2.0",
+    "boost software license": "bsl", "zlib license": "zlib", "the unlicense": "unlicense", "this is free and unencumbered software released into the public domain": "unlicense",
+    "released into the public domain": "public-domain", "dedicated to the public domain": "public-domain", "in the public domain": "public-domain", "public domain dedication": "public-domain",
+    "cc0 1 0": "cc0-1.0", "creative commons zero": "cc0-1.0", "cc0 universal": "cc0-1.0",
+    "creative commons attribution license": "cc-by", "creative commons attribution 4 0": "cc-by-4.0", "creative commons attribution 3 0": "cc-by-3.0", "cc by 4 0": "cc-by-4.0", "cc by 3 0": "cc-by-3.0",
+    "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa", "cc by sa 4 0": "cc-by-sa-4.0", "cc by sa 3 0": "cc-by-sa-3.0", "cc by sa": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc", "cc by nc 4 0": "cc-by-nc-4.0", "cc by nc": "cc-by-nc", "cc by nc sa 4 0": "cc-by-nc-sa-4.0", "cc by nc nd 4 0": "cc-by-nc-nd-4.0",
+    "creative commons attribution noderivatives": "cc-by-nd", "creative commons attribution no derivatives": "cc-by-nd", "cc by nd 4 0": "cc-by-nd-4.0", "cc by nd": "cc-by-nd",
+    "all rights reserved": "all-rights-reserved",
+}
 TAG = "spdx-license-identifier:"
 # How freely text under a label may be used, by the label's first letters; the longest that fits counts.
-FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "public-domain": 1.0, "zlib": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nc": 0.1, "cc-by-nd": 0.1}
+FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "public-domain": 1.0, "zlib": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "all-rights-reserved": 0.0}
 UNKNOWN = 0.1
 _RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-:]*")
@@ -159,6 +158,34 @@ def scan_tags(text: str) -> list[tuple[tuple[str, ...], float]]:
     return [expression(low[end + 1 :].split("\n", 1)[0]) for end, _ in tags().iter(low)]
 
 
+@lru_cache(maxsize=1)
+def openings() -> tuple[dict[str, int], np.ndarray]:
+    """The first two words of each phrase as numbers, and the sorted pairs of them that begin a phrase."""
+    number: dict[str, int] = {}
+    pairs = []
+    for phrase in {**BASE, **NOTICES}:
+        a, b, *_ = [*phrase.split(), ""]
+        pairs.append((number.setdefault(a, len(number) + 1) << 20) | (number.setdefault(b, len(number) + 1) if b else 0))
+    return number, np.unique(np.array(pairs, np.int64))
+
+
+def candidates(words: pa.Array, first: np.ndarray, tagged: np.ndarray) -> list[int]:
+    """Texts that have a tag or the first two words of a phrase (its only word): all others hold no phrase."""
+    number, pairs = openings()
+    if not len(words):
+        return np.flatnonzero(tagged).tolist()
+    coded = words.dictionary_encode()
+    names = list(number)
+    at = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=pa.array(names, type=pa.large_string())), -1)).astype(np.int64)
+    known = np.array([number[w] for w in names] + [0], np.int64)[at][np.asarray(coded.indices)]
+    begin = np.flatnonzero(known)
+    after = np.append(known, 0)[begin + 1]
+    opens = np.isin(known[begin] << 20 | after, pairs) | np.isin(known[begin] << 20, pairs)
+    hit = np.zeros(len(first) - 1, bool)
+    hit[np.searchsorted(first, begin[opens], side="right") - 1] = True
+    return np.flatnonzero(hit | tagged).tolist()
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
@@ -166,16 +193,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
         words, first = split_words(plain_text(texts))
         n = len(texts)
-        coded = words.dictionary_encode()
-        anchor = np.asarray(pc.is_in(coded.dictionary, value_set=pa.array(ANCHORS, type=pa.large_string())))
-        at = np.flatnonzero(anchor[np.asarray(coded.indices)]) if len(words) else np.zeros(0, np.int64)
-        lettered = np.asarray(pc.match_substring(texts, TAG, ignore_case=True)) if len(at) else np.zeros(n, bool)
+        tagged = np.asarray(pc.match_substring(texts, TAG, ignore_case=True))
         count, low, high = np.zeros(n, np.int64), [None] * n, [None] * n
         base_labels, labels, score = [""] * n, [""] * n, np.zeros(n)
-        for d in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
+        for d in candidates(words, first, tagged):
             places, base, all_ = scan_words(words.slice(first[d], first[d + 1] - first[d]).to_pylist())
             free = [freedom(x) for x in all_]
-            if lettered[d]:
+            if tagged[d]:
                 for found, value in scan_tags(texts[d].as_py()):
                     if found:
                         all_ |= set(found)

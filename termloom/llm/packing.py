@@ -1,5 +1,8 @@
 """Vector best-fit packing of tokenised documents into sequences of bounded tokens, documents and attention cost.
 
+The attention cost of a piece is the square of its length in blocks of ATTENTION tokens, as attention inside documents is
+computed. A piece that alone exceeds the cost capacity has a sequence for itself.
+
 Pieces are dealt out evenly before they are packed, so that every task packs a sample of all lengths however the table
 is stored. A piece goes to the open sequence in which it fits under all three capacities and leaves the smallest weighted
 residual norm (or has the largest weighted dot product with the residual). All sequences that are not nearly full are
@@ -8,6 +11,7 @@ taken apart, dealt anew and packed again, until one window holds them or a round
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ WINDOW = 20_000
 FILLED, SAVED = 0.95, 0.01
 #: The first round has a task for so many pieces, as far as there are cores.
 DEALT = 1_000
+#: Tokens of an attention block; cost is counted in squared blocks.
+ATTENTION = 128
 _CACHE_WORDS = 200_000
 
 
@@ -50,6 +56,7 @@ class WordCoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.parted = bool(self.ends.any())
+        self.lowers = "Lowercase" in json.dumps(json.loads(self.coder.to_str()).get("normalizer"))
         self._forget()
 
     def _forget(self) -> None:
@@ -88,8 +95,8 @@ class WordCoder:
         """Slots of the words, and of the full stops and commas taken off them (0: none)."""
         if len(self.slot) > 2 * _CACHE_WORDS:
             self._forget()
-        # the coder lowers after composing, so only ASCII may be lowered before
-        words = [w.lower() if w.isascii() else w for w in words]
+        # a coder that lowers does so after composing, so only ASCII may be lowered before
+        words = [w.lower() if w.isascii() else w for w in words] if self.lowers else words
         tail = [w[-1] if w[-1] in ".," and w[:-1].isalpha() and max(w) < "\u0180" else "" for w in words]
         head = [w[:-1] if t else w for w, t in zip(words, tail)]
         slot = self.slot
@@ -131,27 +138,35 @@ def coder(path: str) -> WordCoder:
     return _CODERS[path]
 
 
+def attention_cost(length: np.ndarray) -> np.ndarray:
+    """Squared blocks of pieces."""
+    return (-(-np.asarray(length) // ATTENTION)) ** 2
+
+
 def best_fit(length: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
     """The sequence of each piece and its offset there; sequences are numbered from 0. Longest pieces first, ties by place.
 
+    capacity: tokens, pieces and attention cost of a sequence; a piece over the cost capacity stands alone.
+
     rule "norm" takes the sequence of least weighted residual norm after placing, "dot" that of the largest weighted
     dot product of demand and residual. All amounts are shares of their capacity.
     """
     n = len(length)
     tokens, documents, cost = capacity
+    costs = np.minimum(attention_cost(length), cost)
     order = np.argsort(-length, kind="stable")
     seq, offset = np.empty(n, np.int64), np.empty(n, np.int64)
     left = np.empty((3, n), np.float64)
     number = np.empty(n, np.int64)
     filled = np.empty(n, np.int64)
     open_, made, at = 0, 0, 0
-    smallest = int(length.min()) if n else 0
+    smallest, least = (int(length.min()), float(costs.min()) / cost) if n else (0, 0.0)
     weight = np.asarray(weights, np.float64)
     while at < n:
         k = order[at]
         at += 1
         size = int(length[k])
-        demand = (size / tokens, 1 / documents, size * size / cost)
+        demand = (size / tokens, 1 / documents, costs[k] / cost)
         spot = -1
         if open_ and size < tokens:
             t, d, c = left[0, :open_], left[1, :open_], left[2, :open_]
@@ -173,7 +188,7 @@ def best_fit(length: np.ndarray, capacity: tuple[int, int, int], weights: tuple[
         seq[k], offset[k] = number[spot], filled[spot]
         left[:, spot] -= demand
         filled[spot] += size
-        if filled[spot] + smallest > tokens or left[1, spot] < 1 / documents - 1e-12:
+        if filled[spot] + smallest > tokens or left[1, spot] < 1 / documents - 1e-12 or left[2, spot] < least - 1e-12:
             open_ -= 1
             left[:, spot], number[spot], filled[spot] = left[:, open_], number[open_], filled[open_]
     return seq, offset
@@ -268,14 +283,14 @@ def pack(
     """Pieces of all documents with their sequence and offset there: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its word ids, then END_ID; only documents over `tokens` ids are cut, into pieces of `tokens` and a
-    rest. A sequence holds `tokens` tokens, `documents` pieces and a sum of squared lengths of `cost` at most (default
-    tokens squared, which binds no sequence that the first capacity allows; a lower cost must still hold one whole piece
-    or it raises). A null text is empty: one piece of END_ID. Equal documents are packed as often as they occur. Rows
+    rest. A sequence holds `tokens` tokens, `documents` pieces and a cost of `cost` squared attention blocks at most (default: as
+    many as one whole piece has and a block a piece, which binds no sequence that the first capacity allows); a piece
+    over that cost stands alone. A null text is empty: one piece of END_ID. Equal documents are packed as often as they occur. Rows
     with a null id are dropped. An empty table gives no rows. Other columns are not read.
     """
-    cost = tokens * tokens if cost is None else cost
-    if cost < tokens * tokens or tokens < 1 or documents < 1:
-        raise ValueError("cost must hold one piece of the largest length")
+    cost = int(attention_cost(np.array(tokens))) + documents if cost is None else cost
+    if cost < 1 or tokens < 1 or documents < 1:
+        raise ValueError("capacities are positive")
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     capacity = (tokens, documents, cost)
