@@ -280,6 +280,59 @@ def test_extraction(spark):
     assert site_style.main_text("<div>a</div>" * 3000).count("a") == 3000 and html_.unescape("&am") == "&am"
 
 
+def importance_by_loop(pages):
+    """Importance and outside importance of every (host, path) from the trees of distinct pages, by their definitions."""
+    values = defaultdict(lambda: ([], []))
+    for host, page in sorted(set(pages)):
+        tree: dict = {}
+        site_style.walk(page, tree=tree)
+        for path, (tags, own) in tree.items():
+            if path:
+                values[host, path][0].append(" ".join(dict.fromkeys(tags)))
+                values[host, path][1].append(" ".join(" ".join(own).split()))
+    own, seen = {}, {}
+    for key, kinds in values.items():
+        n = len(kinds[0])
+        seen[key] = n - 1
+        own[key] = max(-sum(c / n * math.log(c / n) for c in Counter(k).values()) / math.log(n) for k in kinds) if n > 1 else 0.0
+    b = site_style.BACKOFF
+    node = {}
+    for host, path in own:
+        others = [k for k in own if k[1] == path and k[0] != host]
+        says = (sum(seen[k] * own[k] for k in others) + b) / (sum(seen[k] for k in others) + b)
+        n = seen[host, path]
+        node[host, path] = (n * own[host, path] + b * says) / (n + b), (n * own[host, path] + b * site_style.DOUBT[0]) / (n + b)
+    branch = lambda host, path, k: max(v[k] for (h, p), v in node.items() if h == host and (p == path or p.startswith(path + ">")))
+    return {key: (branch(*key, 0), branch(*key, 1)) for key in node}
+
+
+def test_importance_against_loops(spark):
+    rng = random.Random(12)
+    page = lambda h, k: f'<body><div class="menu-x">go {h}</div><div class="box"><p>{rng.choice(("a", "b", "c"))}</p>{"<p>more</p>" if k % 3 else ""}</div><span>{k}</span></body>'
+    pages = [(h, page(h, k)) for h, n in (("a", 12), ("b", 3), ("c", 1)) for k in range(n)]
+    pages += pages[:5]
+    got = {(r.host, r.path): (r.importance, r.outside) for r in site_style.importance(spark.createDataFrame(pages, "host string, html string")).collect()}
+    want = importance_by_loop(pages)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_article_text_under_any_class():
+    for page in ('<article class="legal"><p>Law text</p></article>', '<main><div class="form-of-life"><p>Law text</p></div></main>', '<div id="search-algorithms"><p>Law text</p></div>', '<body class="no-sidebar"><div class="menu-theory"><p>Law text</p></div></body>', '<div class="commenting-on-law"><p>Law text</p></div>'):
+        assert site_style.main_text(page) == "Law text", page
+    for junk in ("site-footer", "comment-list", "cookie-banner", "post-comments", "ad", "ad-slot-3", "main_menu", "related-posts", "sidebar2"):
+        assert site_style.main_text(f'<div class="{junk}">junk</div><p>Law text</p>') == "Law text", junk
+
+
+def test_the_tree_decides(spark):
+    """Without tags or classes that tell, what goes is what the trees say; a host of two pages leans on the hosts beside it."""
+    rng = random.Random(15)
+    page = lambda h: f"<body><div><b>{h} menu here</b></div><section><p>{prose(rng, 12)}</p></section></body>"
+    rows = [(100 * k + j, f"https://h{k}.example/{j}", page(k)) for k in range(6) for j in range(20 if k < 5 else 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all("menu" not in r.text and len(r.text.split()) == 12 for r in site_style.extract(pages).collect())
+    assert all("menu" in r.text for r in site_style.extract(pages, least=0).collect())
+
+
 def test_templates_without_article(spark):
     """Branches that look alike on a host go, those that differ stay."""
     rng = random.Random(8)
