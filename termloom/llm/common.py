@@ -69,6 +69,17 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """docs(id, text) with one row an id: of rows that repeat an id the one of the smallest text, null first. Only those rows are shuffled."""
+    again = docs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    if again.isEmpty():
+        return docs
+    again = cut(again)
+    again = small(again, 16)
+    some = docs.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text")).alias("s")).select("id", "s.text")
+    return docs.join(again, "id", "left_anti").unionByName(some)
+
+
 def crc_fold(column: str, folds: int):
     """crc32 of the id written as text, modulo folds."""
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)

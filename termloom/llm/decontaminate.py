@@ -35,6 +35,10 @@ class Items:
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
         self.words = np.asarray(coded.indices).astype(np.int64) + 1
+        #: Items of fewer words than an n-gram, by their words: only a text of the same words is a copy of them.
+        self.short: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero((np.diff(self.first) > 0) & (np.diff(self.first) < n)).tolist():
+            self.short.setdefault(tuple(self.words[self.first[k] : self.first[k + 1]].tolist()), []).append(k)
         size = np.maximum(np.diff(self.first) - n + 1, 0)
         self.item = np.repeat(np.arange(len(ids)), size)
         self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(size) - size, size)
@@ -149,6 +153,10 @@ def _search(batches: Iterator[pa.RecordBatch], shared, least: float, floor_words
         numbers, first, docs, ats, seeds = items.hits(texts)
         wides = items.seed_first[seeds + 1] - items.seed_first[seeds] if len(seeds) else np.zeros(0, np.int64)
         found = []
+        if items.short:
+            for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < items.n)).tolist():
+                for i in items.short.get(tuple(numbers[first[d] : first[d + 1]].tolist()), []):
+                    found.append((int(ids[d]), int(items.ids[i]), 1.0, 0, int(first[d + 1] - first[d]) - 1))
         for part in _parts(wides, docs):
             doc, at, seed, wide = docs[part], ats[part], seeds[part], wides[part]
             hit = np.repeat(np.arange(len(seed)), wide)
@@ -191,8 +199,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.4, flo
 
     score is the best local alignment's share of the item's own score, `least` or more; the alignment must also be worth
     floor_words equal words, or four fifths of an item too short for that. first_word and last_word are its
-    stretch in the document, words from 0. Null or wordless texts match nothing; items of under n words have no n-gram
-    and match nothing; items or documents of equal text each give their rows. Rows with null ids are dropped. Empty
+    stretch in the document, words from 0; of several best ones the first. Null or wordless texts match nothing; items of
+    under n words match documents of the same words alone; items or documents of equal text each give their rows. Rows with null ids are dropped. Empty
     tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession

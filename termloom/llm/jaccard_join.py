@@ -2,12 +2,14 @@
 
 A document is the set of its distinct n-word shingles. Set sizes are cut into bands, band i being [l, l / similarity].
 For sets of two neighbouring bands that reach the similarity the Hamming distance is at most k. Every pair of neighbouring
-bands hashes the feature domain into n1 = k + 1 + m partitions, m half of k + 1, and the subsets enumerated are single
-partitions: sets within distance k agree in m + 1 partitions at least. A set signs with its k + 1 most telling partitions
-only. Of the m + 1 that two such sets share, the most telling one stands above m others in both, so both sign with it.
-A partition tells as much as it holds shingles that are not among the most frequent; partitions without any, which
-unrelated sets share, are so left out. Documents that share signatures form candidate clusters; each cluster is verified
-exactly, block against block, and only links that reach the similarity count.
+bands hashes the feature domain into n1 + m partitions of CELLS cells, n1 = k // 2 + 1 and m half of that. Sets within
+distance k differ by two features or more in n1 - 1 partitions at most, so in m + 1 partitions at least they differ by one
+feature or none; that feature lies in one cell, and they agree in the subset of the other cells. All subsets that leave
+out one cell are enumerated, and a set signs with all but its m least telling subsets. Of the m + 1 or more that two such
+sets share, the most telling one stands above m others in both, so both sign with it. A subset tells as much as it holds
+shingles that are not among the most frequent; subsets without any, which unrelated sets share, are so left out. Documents
+that share signatures form candidate clusters; each cluster is verified exactly, block against block, and only links that
+reach the similarity count.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, drop_cut, hash_words, mix, runs, slices, small, split_words
+from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, drop_cut, hash_words, mix, one_row_an_id, runs, slices, small, split_words
 from termloom.llm.components import components, forest
 
-#: Documents of a cluster that are compared as one block.
-BLOCK = 1024
+#: Cells of a partition; subsets leave out one of them.
+CELLS = 3
+#: Documents, and shingles, of a cluster that are compared as one block at most; clusters of less are dealt out in blocks of FEW or more.
+BLOCK, HELD, FEW = 1024, 4_000_000, 256
 #: Shingles in the columns of one product.
 WIDTH = 4096
 #: Frequent shingles that every task knows.
 COMMON = 1 << 16
-#: Tasks in which signatures meet, at least. A document has a candidate link in each of them at most.
-MEETS = 64
 
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +90,32 @@ def signatures(x: np.ndarray, first: np.ndarray, num: int, den: int, common: np.
     out, sets = [], []
     for instance in (band, band + 1):
         need = (den - num) * 2 * ends[instance] // (den + num) + 1
-        parts = need + need // 2
-        base = np.concatenate([[0], np.cumsum(parts)])
+        # k = need - 1; equal sets alone are similar where k is 0, so that one whole partition tells all
+        least = (need + 1) // 2
+        spare = np.where(need > 1, (least + 1) // 2, 0)
+        cells = np.where(need > 1, (least + spare) * CELLS, 1)
+        base = np.concatenate([[0], np.cumsum(cells)])
         seed = mix(instance.astype(np.uint64) * ODD + np.uint64(1))
-        cell = base[owner] + (mix(x ^ seed[owner]) % parts.astype(np.uint64)[owner]).astype(np.int64)
+        cell = base[owner] + (mix(x ^ seed[owner]) % cells.astype(np.uint64)[owner]).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, cell, mix(x + ODD))
-        row = np.repeat(np.arange(len(full)), parts)
+        weight = np.bincount(cell, weights=telling, minlength=base[-1])
+        row = np.repeat(np.arange(len(full)), cells)
         place = np.arange(len(row)) - base[row]
-        sig = mix(sums + mix(seed[row] + place.astype(np.uint64) * ODD))
-        weight = np.bincount(cell, weights=telling, minlength=base[-1]) * 4096 + (mix(sig) >> np.uint64(52)).astype(np.float64)
-        order = np.lexsort((-weight, row))
-        best = order[np.arange(len(order)) - base[row[order]] < need[row[order]]]
-        out.append(sig[best])
+        one = mix(sums + mix(seed[row] + place.astype(np.uint64) * ODD))
+        # a subset is named by the cell that it leaves out: sums over the partition less that cell
+        whole, held = one.copy(), weight.copy()
+        many = np.flatnonzero(cells[row] > 1)
+        first = many[::CELLS]
+        total, tells = one[first].copy(), weight[first].copy()
+        for c in range(1, CELLS):
+            total, tells = total + one[first + c], tells + weight[first + c]
+        whole[many] = mix(np.repeat(total, CELLS) - one[many] + place[many].astype(np.uint64))
+        held[many] = np.repeat(tells, CELLS) - weight[many]
+        rank = held * 4096 + (mix(whole) >> np.uint64(52)).astype(np.float64)
+        order = np.lexsort((-rank, row))
+        best = order[np.arange(len(order)) - base[row[order]] < (cells - spare)[row[order]]]
+        out.append(whole[best])
         sets.append(full[row[best]])
     return np.concatenate(out), np.concatenate(sets)
 
@@ -176,7 +191,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: candidate links, folded; kind 1: a document and the smallest one with the same set; kind 2: sizes."""
+    """kind 0: candidate links, one a shared signature, however many tasks there are; kind 1: a document and the smallest one with the same set; kind 2: sizes."""
     kept: dict[bool, list] = {False: [], True: []}
     for batch in batches:
         for sigs, ids, sizes, more in zip(*(column(batch, c).to_pylist() for c in ("sigs", "ids", "sizes", "more"))):
@@ -189,7 +204,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, _, pivot = _grouped(sig, ids)
         ids = ids[order]
         apart = ids != pivot
-        a, b = forest(ids[apart], pivot[apart])
+        a, b = ids[apart], pivot[apart]
         yield batch_of(_FOUND, np.zeros(len(a), np.int32), a, b, np.zeros(len(a), np.int64))
     if kept[True]:
         h1, ids, size, h2 = (np.concatenate(c) for c in zip(*kept.pop(True)))
@@ -282,24 +297,29 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     """Components and links of documents whose shingle sets have a Jaccard similarity of num/den or more.
 
     Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased; a set holds the distinct n-word shingles, or the
-    whole sequence where there are fewer words. Returns one row a document: doc_id, n_shingles, component_id (smallest
+    whole sequence where there are fewer words. Returns one row an id: doc_id, n_shingles, component_id (smallest
     doc_id reachable by links, itself included), n_links (documents that it links with). Null and wordless texts have an
-    empty set and no link. Rows with a null id are dropped, since no link can name them; ids must be distinct. Columns
+    empty set and no link. Rows with a null id are dropped, since no link can name them; rows that
+    repeat an id are one document, of the smallest of their texts. Columns
     other than id and text are not read, so their names cannot clash. An empty table gives no rows.
     """
     spark = docs.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meets = max(width, MEETS)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    docs = one_row_an_id(docs)
     common = spark.sparkContext.broadcast(common_shingles(docs, n))  # COMMON numbers
-    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * meets, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
-    found = cut(arrow_map(signed.repartition(meets, "bucket"), _meet, "kind int, a long, b long, n long"))
+    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * width, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
+    found = cut(arrow_map(signed.repartition(width, "bucket"), _meet, "kind int, a long, b long, n long"))
     same = found.where("kind = 1").select("a", "b")
     clusters = components(found.where("kind < 2").select("a", "b"))
     grown = same.groupBy(F.col("b").alias("id")).agg((F.count("*") + 1).alias("copies"))
     leads = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(same.select(F.col("a").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", "cluster", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     leads = cut(leads)
-    blocks = cut(leads.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    sets = found.where("kind = 2").select(F.col("a").alias("id"), F.col("n").alias("held"))
+    sizes = leads.join(sets, "id").groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).where("rows > 1")
+    # as few blocks as hold a cluster; up to so many that their pairs are a task each, while they keep FEW documents
+    spread = F.least(F.ceil(F.col("rows") / F.lit(FEW)), F.lit(int(np.ceil(np.sqrt(2 * width)))))
+    blocks = cut(sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(HELD)), spread).cast("long").alias("blocks")))
     members = cut(leads.join(small(blocks, 24), "cluster"))
     dealt = arrow_map(docs.join(small(members, 40), "id"), partial(_deal, n=n), "cluster long, i long, j long, block long, id long, copies long, shingles binary")
     checked = cut(arrow_map(dealt.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), partial(_verify, num=num, den=den), "a long, b long, links long"))

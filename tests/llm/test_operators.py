@@ -92,14 +92,26 @@ def test_jaccard_join_keeps_one(spark, texts, empty):
     assert jaccard_join.shingle_join(empty).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows of one id are one document, of its smallest text; null texts come first."""
+    a, b, c = "a b c d e f g h", "a b c d e f g h", "x y z u v w"
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (3, c), (3, "a z"), (4, c), (5, None), (5, a)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.shingle_join(docs, 3, 90, 100).collect()}
+    assert got == {1: (6, 1, 1), 2: (6, 1, 1), 3: (1, 3, 0), 4: (4, 4, 0), 5: (0, 5, 0)}
+    scores = {r.doc_id: r.n_tokens for r in context_tree.context_tree_scores(docs).collect()}
+    assert scores == {1: 9, 2: 9, 3: 3, 4: 7, 5: 1}
+
+
 def test_signatures_meet_whenever_sets_are_similar():
     rng = np.random.default_rng(3)
     for num in (80, 90):
         for size in (1, 4, 9, 20, 61, 300):
-            for _ in range(30):
+            for _ in range(60):
                 a = rng.choice(1 << 62, size, replace=False).astype(np.uint64)
-                b = a[: len(a) - rng.integers(0, size // 8 + 1)]
-                both, union = len(b), len(a)
+                both = len(a) - rng.integers(0, size // 8 + 1)
+                more = rng.integers(0, size // 8 + 1)
+                b = np.concatenate([a[:both], rng.choice(1 << 62, more, replace=False).astype(np.uint64)])
+                union = len(a) + more
                 if 100 * both < num * union:
                     continue
                 x = np.concatenate([np.sort(a), np.sort(b)])
@@ -561,6 +573,7 @@ def test_leaks(spark, empty):
             want.add((len(docs), k))
             docs.append(prose(rng, 40) + " " + ", ".join(w).upper() + ". " + prose(rng, 40))
     want |= {(d, 15) for d, k in want if k == 0}
+    want.add((len(docs) + 202, 14))  # an item shorter than an n-gram: a text of the same words alone
     shared = " ".join([prose(rng, 10), items[1], prose(rng, 10)])
     for _ in range(200):  # a passage in most documents is found in all of them
         want.add((len(docs), 1))
