@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per second as measured on a sample.
 
 Every rule looks at the texts that all rules before it passed. Their order is set for the corpus at hand: each rule runs
-on a sample of documents, which gives its cost a text and the share it rejects; rules then go by rejections per cost.
-The order changes the work, never the verdict.
+on a sample of documents, which gives its cost a text and which texts it rejects; the next rule is always the one that
+rejects most of what the rules before it leave, by cost. The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
@@ -28,12 +28,31 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_letter_words", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 class Texts:
     """Measures of some texts, made when a rule first asks for them."""
 
     def __init__(self, texts: pa.Array):
         self.texts, self.n = texts, len(texts)
 
+    def only(self, rows: np.ndarray) -> Texts:
+        """Some of the texts. What was measured or split before is cut, not made again."""
+        out, done = Texts(self.texts.take(pa.array(rows))), self.__dict__
+        for name in MEASURES:
+            if name in done:
+                out.__dict__[name] = done[name][rows]
+        if "_words" in done:
+            flat, first = self._words
+            n = np.diff(first)[rows]
+            ends = np.cumsum(n)
+            at = pa.array(np.repeat(first[:-1][rows] - ends + n, n) + np.arange(n.sum()))
+            out.__dict__["_words"] = flat.take(at), np.concatenate([[0], ends])
+            if "_coded" in done:
+                out.__dict__["_coded"] = pa.DictionaryArray.from_arrays(self._coded.indices.take(at), self._coded.dictionary)
+        return out
+
     @cached_property
     def _bytes(self) -> tuple[np.ndarray, np.ndarray]:
         return text_bytes(self.texts)
@@ -160,36 +179,55 @@ BASE = (Rule("few_words", _few_words), Rule("repeats", _repeats))
 RULES = (Rule("word_length", _word_length), Rule("symbols", _symbols), Rule("exclaims", _exclaims), Rule("letters", _letters), Rule("dup_lines", _dup_lines))
 
 
-def run_cascade(texts: pa.Array, rules: tuple[Rule, ...]) -> np.ndarray:
+def run_cascade(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
     """Texts that every rule passes; a rule sees only those that all before it passed."""
-    alive = np.arange(len(texts))
+    out, alive = np.zeros(texts.n, bool), np.arange(texts.n)
     for rule in rules:
         if not len(alive):
             break
-        alive = alive[~rule.rejects(Texts(texts.take(pa.array(alive)) if len(alive) < len(texts) else texts))]
-    out = np.zeros(len(texts), bool)
+        stay = np.flatnonzero(~rule.rejects(texts))
+        if len(stay) < texts.n:
+            alive, texts = alive[stay], texts.only(stay)
     out[alive] = True
     return out
 
 
-def _probe(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rule", pa.int32()), ("texts", pa.int64()), ("rejected", pa.int64()), ("seconds", pa.float64())])
+def _probe(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], base: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+    """kind 0: texts by the set of rules that reject them (bits); kind 1: a rule's seconds over so many texts, measured on its own."""
+    schema = pa.schema([("kind", pa.int32()), ("what", pa.int64()), ("texts", pa.int64()), ("seconds", pa.float64())])
     for _, texts in slices(batches):
+        if base:
+            texts = texts.filter(pa.array(run_cascade(Texts(texts), base)))
+        sets = np.zeros(len(texts), np.int64)
         for k, rule in enumerate(rules):
             began = time.thread_time()
-            rejected = int(rule.rejects(Texts(texts)).sum())
-            yield batch_of(schema, [k], [len(texts)], [rejected], [time.thread_time() - began])
+            sets |= rule.rejects(Texts(texts)).astype(np.int64) << k
+            yield batch_of(schema, [1], [k], [len(texts)], [time.thread_time() - began])
+        values, n = np.unique(sets, return_counts=True)
+        yield batch_of(schema, np.zeros(len(values), np.int32), values, n, np.zeros(len(values)))
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """Rules by rejections per second on about `sample` documents(id, text), most first."""
+def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE, base: tuple[Rule, ...] = ()) -> tuple[Rule, ...]:
+    """Rules in cascade order, by about `sample` documents(id, text) of which those that a base rule rejects are left out.
+
+    Each place goes to the rule of most rejections, among texts that no rule before it rejects, per second a text; ties to the
+    first given.
+    """
     rows = docs.count()
     if not rows:
         return rules
     some = docs.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sample / rows) * (1 << 30)))
-    seen = arrow_map(some.select("text"), partial(_probe, rules=rules), "rule int, texts long, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()  # one row a rule
-    rate = {r.rule: r.rejected / max(r.seconds, 1e-9) for r in seen}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate.get(k, 0.0), k)))
+    seen = arrow_map(some.select("text"), partial(_probe, rules=rules, base=base), "kind int, what long, texts long, seconds double").groupBy("kind", "what").agg(F.sum("texts").alias("texts"), F.sum("seconds").alias("seconds")).collect()  # a row a rule and a set of rules
+    cost = {r.what: r.seconds / max(r.texts, 1) for r in seen if r.kind == 1}
+    sets = {r.what: r.texts for r in seen if r.kind == 0}
+    left, out = list(range(len(rules))), []
+    while left:
+        rate = {k: sum(n for s, n in sets.items() if s >> k & 1) / max(cost.get(k, 0.0), 1e-12) for k in left}
+        best = min(left, key=lambda k: (-rate[k], k))
+        out.append(rules[best])
+        left.remove(best)
+        sets = {s: n for s, n in sets.items() if not s >> best & 1}
+    return tuple(out)
 
 
 _JUDGED = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
@@ -199,16 +237,17 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterat
     for batch, texts in slices(batches):
         t = Texts(texts)
         failed = _few_words(t) | _repeats(t)
+        measured = t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words  # asked for of every text
         kept = np.zeros(len(texts), bool)
         rest = np.flatnonzero(~failed)
-        kept[rest] = run_cascade(texts.take(pa.array(rest)), rules)
-        yield batch_of(_JUDGED, column(batch, "id").to_numpy(), t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, kept)
+        kept[rest] = run_cascade(t.only(rest), rules)
+        yield batch_of(_JUDGED, column(batch, "id").to_numpy(), *measured, failed, kept)
 
 
 def _filter(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.bool_())])
     for batch, texts in slices(batches):
-        yield batch_of(schema, column(batch, "id").to_numpy(), run_cascade(texts, rules))
+        yield batch_of(schema, column(batch, "id").to_numpy(), run_cascade(Texts(texts), rules))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -231,7 +270,7 @@ def measured_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample:
     and are not kept. The other cases are as in verdicts().
     """
     docs = _documents(docs, id_col, text_col)
-    return arrow_map(docs, partial(_judge, rules=ordered(docs, rules, sample)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return arrow_map(docs, partial(_judge, rules=ordered(docs, rules, sample, BASE)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 ORACLE = r"""

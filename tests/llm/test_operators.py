@@ -449,8 +449,21 @@ def test_rule_order_is_by_rejections_per_cost(spark):
     quick = cascade.Rule("quick", lambda t: t.n_words > 1)
     idle = cascade.Rule("idle", lambda t: t.n_words < 0)
     docs = frame(spark, ["a b c"] * 40).select(F.col("doc_id").alias("id"), "text")
-    assert [r.name for r in cascade.ordered(docs, (idle, slow, quick))] == ["quick", "slow", "idle"]
+    assert [r.name for r in cascade.ordered(docs, (idle, slow, quick))] == ["quick", "idle", "slow"]
     assert time.thread_time() > 0
+    # what a rule before it rejects does not count for a rule: "same" is as good as "first" alone and worth nothing after it
+    wait = lambda: sum(range(100_000))
+    rule = lambda name, words: cascade.Rule(name, lambda t: (wait(), np.isin(t.n_words, words))[1])
+    some = frame(spark, ["w " * (1 + k % 10) for k in range(200)]).select(F.col("doc_id").alias("id"), "text")
+    rules = (rule("rest", [8, 9]), rule("first", [1, 2, 3, 4, 5]), rule("same", [2, 3, 4, 5]))
+    assert [r.name for r in cascade.ordered(some, rules)] == ["first", "rest", "same"]
+    assert [r.name for r in cascade.ordered(some, rules, base=(cascade.Rule("b", lambda t: t.n_words > 6),))][0] == "first"
+    t = cascade.Texts(pa.array(["a a b b", "", "x y z x y z", "# !\n# !"], pa.large_string()))
+    for name in cascade.MEASURES[::2]:
+        getattr(t, name)
+    for rows in ([0, 2], [3], [], [1, 3]):
+        some, plain = t.only(np.array(rows, np.int64)), cascade.Texts(t.texts.take(pa.array(rows, pa.int64())))
+        assert all(getattr(some, m).tolist() == getattr(plain, m).tolist() for m in cascade.MEASURES)
 
 
 PERSONAL = [
