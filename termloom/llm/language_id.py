@@ -21,8 +21,10 @@ from termloom.llm.common import arrow_map, batch_of, column, crc_fold, slices, t
 
 #: Hash buckets of trigrams, as a power of two.
 BITS = 15
-#: Training rows of a language, at most in expectation.
-SAMPLE = 5_000
+#: Training rows of a language, at most in expectation; of them one in GRADING tells how far a bit is to be trusted, the others fit it.
+SAMPLE, GRADING = 5_000, 4
+#: Languages that are learned, those of the most rows.
+MOST = 1_000
 #: A document's mean log-odds times this is a bit's margin.
 SHARPNESS = 5.0
 _LETTERS = np.full(256, 32, np.uint8)
@@ -117,14 +119,16 @@ def _grade(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Decoder | None:
-    """labelled(id, text, lang), lang not null. Of a language with more rows than `sample`, a share by hash of the id."""
+    """labelled(id, text, lang), lang not null. Of a language with more rows than `sample`, a share by hash of the id; of more than
+    MOST languages those of the most rows, ties by name. Bits are graded on rows that did not fit them."""
     spark = labelled.sparkSession
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", "lang")
-    tally = arrow_map(chosen, _tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages times 2 ** BITS rows
+    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
+    grading = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(GRADING)) == 0
+    tally = arrow_map(chosen.where(~grading).select("text", "lang"), _tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages times 2 ** BITS rows
     languages = sorted(counts)
     place = {lang: k for k, lang in enumerate(languages)}
     grid = np.full((len(languages), 1 << BITS), 0.5)
@@ -134,7 +138,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Decoder | None:
     weights = np.array([np.log(grid[code[:, b] == 1].mean(axis=0)) - np.log(grid[code[:, b] == 0].mean(axis=0)) for b in range(code.shape[1])], dtype=np.float32).reshape(code.shape[1], 1 << BITS)
     decoder = Decoder(languages, code, weights, np.ones(code.shape))
     if code.shape[1]:
-        grades = arrow_map(chosen, partial(_grade, shared=spark.sparkContext.broadcast(decoder)), "lang int, bit int, right long, seen long").groupBy("lang", "bit").agg(F.sum("right").alias("right"), F.sum("seen").alias("seen")).collect()
+        grades = arrow_map(chosen.where(grading).select("text", "lang"), partial(_grade, shared=spark.sparkContext.broadcast(decoder)), "lang int, bit int, right long, seen long").groupBy("lang", "bit").agg(F.sum("right").alias("right"), F.sum("seen").alias("seen")).collect()
         for r in grades:
             decoder.trust[r.lang, r.bit] = (r.right + 1) / (r.seen + 2)
         decoder.trust /= decoder.trust.mean(axis=1, keepdims=True)

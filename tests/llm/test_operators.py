@@ -158,6 +158,28 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language_id.languages(frame(spark, ["abc"] * 6, [None] * 6)).collect()} == {"und"}
 
 
+def test_decoding_against_loops():
+    """Margins are mean log-odds of the text's trigrams, losses logistic ones weighted by trust, the least of them wins."""
+    rng = np.random.default_rng(7)
+    code = language_id.codewords(4)
+    weights = rng.normal(size=(code.shape[1], 1 << language_id.BITS)).astype(np.float32)
+    trust = rng.uniform(0.5, 1.5, code.shape)
+    decoder = language_id.Decoder(list("abcd"), code, weights, trust)
+    texts = ["hello w\u00f6rld", "", "a", "one two  three"]
+    buckets, first = language_id.trigrams(pa.array(texts, pa.large_string()))
+    margins = decoder.margins(pa.array(texts, pa.large_string()))
+    got = decoder.losses(margins)
+    for d in range(len(texts)):
+        own = buckets[first[d] : first[d + 1]].tolist()
+        for b in range(code.shape[1]):
+            want = language_id.SHARPNESS * sum(float(weights[b][x]) for x in own) / max(len(own), 1)
+            assert margins[d, b] == pytest.approx(want, abs=1e-4)
+        for k in range(4):
+            want = sum(math.log1p(math.exp(-(1 if code[k][b] else -1) * margins[d, b])) * trust[k, b] for b in range(code.shape[1]))
+            assert got[d, k] == pytest.approx(want, rel=1e-9)
+    assert first[1] == len(" hello w\u00f6rld".encode()) - 2 and first[2] == first[1]
+
+
 def test_codewords():
     for k in (1, 2, 4, 7, 12):
         code = language_id.codewords(k)
@@ -165,6 +187,32 @@ def test_codewords():
         assert k == 1 or (code.min(axis=0) == 0).all() and (code.max(axis=0) == 1).all()
 
 
+def test_kept_sequences_against_loops(spark, texts, monkeypatch):
+    """Of each depth the contexts of the most frequent levels (powers of two) that fit whole, with the counts of what follows them."""
+    counts = Counter(context_tree.grams(pa.array([lowered(t) for t in texts], pa.large_string()))[0].tolist())
+    row = [(1, np.array(list(counts), np.uint64).tobytes(), np.array(list(counts.values()), np.int64).tobytes())]
+    counted = spark.createDataFrame(row, "kind int, keys binary, counts binary")
+    for most in (40, 700, 10**6):
+        got = context_tree.kept_sequences(counted, most)
+        for d in range(context_tree.DEPTH + 1):
+            low = Counter()
+            for g, n in counts.items():
+                low[g & ((1 << 8 * (d + 1)) - 1)] += n
+            times, wide = Counter(), Counter()
+            for g, n in low.items():
+                times[g >> 8] += n
+                wide[g >> 8] += 1
+            kept, left = set(), most
+            for level in sorted({int(math.log2(n)) for n in times.values()}, reverse=True):
+                own = {c for c, n in times.items() if int(math.log2(n)) == level}
+                if sum(wide[c] for c in own) > left:
+                    break
+                left -= sum(wide[c] for c in own)
+                kept |= own
+            want = {g: n for g, n in low.items() if g >> 8 in kept}
+            assert dict(zip(got[d][0].tolist(), got[d][1].tolist())) == want
+
+
 def test_unigram_base(spark, texts, empty):
     got = {r.doc_id: r for r in context_tree.context_tree_scores(frame(spark, texts)).collect()}
     tokens = {i: [*WORDS.findall(lowered(t)), "\n"] for i, t in enumerate(texts)}
@@ -276,6 +324,33 @@ def test_quality(spark, empty):
     assert {r.score for r in quality.quality_scores(frame(spark, ["a"]), none).collect()} == {0.5}
 
 
+def test_shallow_trees_against_loops():
+    """Cuts are the best of all, leaves are Newton steps, a score is the sum of its tables' entries."""
+    rng = np.random.default_rng(8)
+    gain = lambda parts, g, h: sum(g[p].sum() ** 2 / (h[p].sum() + 1) for p in parts)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+        got = quality._tree(g, h, 1)
+        best = max(range(1, 9), key=lambda k: gain([slice(0, k), slice(k, 9)], g, h))
+        want = np.concatenate([np.full(k, g[p].sum() / (h[p].sum() + 1)) for k, p in ((best, slice(0, best)), (9 - best, slice(best, 9)))])
+        assert got == pytest.approx(want) or gain([slice(0, best), slice(best, 9)], g, h) - gain([slice(0, 9)], g, h) < 1e-9
+        g2, h2 = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+        value, grid = quality._cross(g2, h2)
+        cuts = [[(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))] for i in range(1, 5) for j in range(1, 6)]
+        parts = max(cuts, key=lambda ps: gain(ps, g2, h2))
+        assert value == pytest.approx(gain(parts, g2, h2) - g2.sum() ** 2 / (h2.sum() + 1))
+        for p in parts:
+            assert not grid[p].size or grid[p] == pytest.approx(g2[p].sum() / (h2[p].sum() + 1))
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # no feature tells alone, a pair does
+    model = quality.fit(x, y, rounds=5, pair_rounds=20, pairs=2)
+    assert (0, 1) in model.pairs and np.mean((model.score(x) > 0.5) == (y > 0)) > 0.9
+    for row, logit in zip(x[:20], model.logit(x[:20])):
+        want = model.base + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables))
+        want += sum(grid[sum(row[i] >= e for e in model.coarse[i]), sum(row[j] >= e for e in model.coarse[j])] for (i, j), grid in zip(model.pairs, model.grids))
+        assert logit == pytest.approx(want)
+
+
 def test_extraction(spark):
     page = (
         '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><header>site</header><nav><ul><li>menu</li></ul></nav>'
