@@ -1,7 +1,9 @@
 """Corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, surrogates, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
-documents. run() writes each stage's rows to the shared folder and reads them again for the next.
+documents, further columns pass. run() writes each stage's rows to the shared folder and reads them again for the next.
+In all stages a null text is an empty one and stays null where rows pass, rows with a null id pass (the second stage compares
+them with none), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,27 +21,31 @@ from termloom.llm.surrogates import pseudonymise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model accepts."""
+    """Documents that the additive model accepts; equal texts fare alike, also rows that repeat an id."""
     return accepted(docs, table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents whose five-word shingles have a similarity of 0.8 or more."""
+    """The smallest doc_id of each group of documents whose five-word shingles have a similarity of 0.8 or more.
+
+    Texts without words are in no group. Rows that repeat an id are one document, of the smallest of their texts, and stay or
+    go together.
+    """
     return one_of_each(docs, n=5, num=80, den=100)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; of rows that repeat an id all go if one has such a passage."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_people(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the text."""
+    """Documents with surrogates for personal data, each row by itself; n_chars follows the text."""
     return pseudonymise(docs, PRIVACY_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of 4096."""
+    """Token pieces placed in sequences of 4096; a row that repeats an id has pieces of its own."""
     return pack(docs, tokenizer_path(), tokens=4096)
 
 
