@@ -202,7 +202,7 @@ def _cut_ids(batches: Iterator[pa.RecordBatch], path: str, tokens: int, with_ids
     """(doc_id, piece, start, length, crc, ids or None) arrays of a slice."""
     encode = coder(path).encode
     for batch, texts in slices(batches):
-        doc = column(batch, "id").to_numpy()
+        doc = column(batch, "id")
         ids, first = encode(texts)
         size = np.diff(first)
         count = -(-size // tokens)
@@ -213,7 +213,7 @@ def _cut_ids(batches: Iterator[pa.RecordBatch], path: str, tokens: int, with_ids
         low = first[:-1][row] + start
         raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + b)]) for a, b in zip(low.tolist(), length.tolist())), np.int64, len(row))
-        yield doc[row], piece.astype(np.int32), start, length, crc, [ids[a : a + b] for a, b in zip(low, length)] if with_ids else None
+        yield doc.take(pa.array(row)), piece.astype(np.int32), start, length, crc, [ids[a : a + b] for a, b in zip(low, length)] if with_ids else None
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, tokens: int) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,8 @@ _PLACED = _SCHEMA.append(pa.field("sequence_id", pa.int64())).append(pa.field("o
 
 
 def _place(held: list[tuple], base: int, capacity: tuple, weights: tuple, rule: str, last: bool) -> tuple[pa.RecordBatch, int]:
-    columns = [np.concatenate(c) for c in zip(*held)]
+    docs, *columns = zip(*held)
+    columns = [pa.concat_arrays(docs), *map(np.concatenate, columns)]  # ids may be null
     length = columns[3]
     seq, offset = best_fit(length, capacity, weights, rule)
     made = int(seq.max()) + 1
@@ -256,7 +257,7 @@ def _first(batches: Iterator[pa.RecordBatch], path: str, tokens: int) -> Iterato
 
 
 def _again(batches: Iterator[pa.RecordBatch], round_: int, capacity: tuple, weights: tuple, rule: str, last: bool) -> Iterator[pa.RecordBatch]:
-    rows = (tuple(np.asarray(column(b, f.name)) for f in _SCHEMA) for b in batches if b.num_rows)
+    rows = ((column(b, "doc_id"), *(np.asarray(column(b, f.name)) for f in list(_SCHEMA)[1:])) for b in batches if b.num_rows)
     return _pack(rows, round_, capacity, weights, rule, last)
 
 
@@ -265,7 +266,7 @@ _PLACED_SQL = f"{_PIECES}, sequence_id long, offset long, handed boolean"
 
 def token_pieces(docs: DataFrame, path: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and the ids themselves, of each document's pieces. Same rules as pack()."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return arrow_map(docs, partial(_tokens, path=path, tokens=tokens), f"{_PIECES}, ids array<long>")
 
 
@@ -285,8 +286,8 @@ def pack(
     A document is its word ids, then END_ID; only documents over `tokens` ids are cut, into pieces of `tokens` and a
     rest. A sequence holds `tokens` tokens, `documents` pieces and a cost of `cost` squared attention blocks at most (default: as
     many as one whole piece has and a block a piece, which binds no sequence that the first capacity allows); a piece
-    over that cost stands alone. A null text is empty: one piece of END_ID. Equal documents are packed as often as they occur. Rows
-    with a null id are dropped. An empty table gives no rows. Other columns are not read.
+    over that cost stands alone. A null text is empty: one piece of END_ID. Equal documents are packed as often as they occur. Pieces
+    of a null id have a null doc_id. An empty table gives no rows. Other columns are not read.
     """
     cost = int(attention_cost(np.array(tokens))) + documents if cost is None else cost
     if cost < 1 or tokens < 1 or documents < 1:
@@ -294,7 +295,7 @@ def pack(
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     capacity = (tokens, documents, cost)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rest = cut(arrow_map(docs, partial(_first, path=path, tokens=tokens), _PIECES))
     done, before, round_ = None, None, 0
     pieces = rest.count()

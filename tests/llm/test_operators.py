@@ -445,6 +445,8 @@ def test_packing(spark, texts, empty):
     for _, s in rows.sort_values("offset").groupby("sequence_id"):
         assert s.length.sum() <= 64 and len(s) <= 5 and s.offset.tolist() == (s.length.cumsum() - s.length).tolist()
     assert packing.pack(empty, tokenizer_path()).count() == 0
+    nameless = spark.createDataFrame([(None, "a b"), (5, "c"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.length) for r in packing.pack(nameless, tokenizer_path()).collect())[0] == (False, 2) and packing.pack(nameless, tokenizer_path()).where("doc_id is null").count() == 2
     pieces = {(r.doc_id, r.piece): r for r in packing.token_pieces(frame(spark, odd), tokenizer_path(), 64).collect()}
     assert len(pieces) == len(rows) and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in pieces.values())
     with pytest.raises(ValueError):
