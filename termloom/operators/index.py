@@ -249,6 +249,12 @@ def delete(index: Index, gone: DataFrame) -> Index:
     return Index(index.documents.join(gone, "doc_id", "left_anti"), left)
 
 
+def compact(index: Index, path: str) -> Index:
+    """The index, such as one with documents deleted, written anew under path and opened there."""
+    index.save(path)
+    return load(index.documents.sparkSession, path, dict(index.documents.dtypes)["doc_id"])
+
+
 def stemmed_vocabulary(index: Index, stemmer=tx.stem) -> DataFrame:
     """stem, cf, n_terms: the vocabulary by stem, each term stemmed once."""
     return index.vocabulary().groupBy(stemmer(F.col("term")).alias("stem")).agg(F.sum("cf").alias("cf"), F.count("*").alias("n_terms"))

@@ -260,7 +260,16 @@ def stemmed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return index.stemmed_vocabulary(collection(spark, d))
 
 
+def index_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Vocabulary and totals of the index written anew without documents that are marked toxic."""
+    path = _place(spark)
+    left = index.compact(index.delete(collection(spark, d), table(spark, d, "labels").where("toxic = 1")), path)
+    remove_at_exit(spark, path)
+    return index.vocabulary_listing(left)
+
+
 QUERIES = [
+    index_compact,
     sgml_topics, doc_topics, xml_topics, colon_topics, rrf_relations, semantic_type_sets, preferred_names, type_file, edge_file, document_name_file, expression_count_file, run_file, judgment_file, metric_file,
     expression_list_file, expression_batch_file, parameter_file, similar_term_json, annotated_topics, kept_lines, single_lines, curve_files, metadata_lookup, documents_by_name, named_fields, word_forms,
     vocabulary_stems, title_bigrams, related_concepts, sampled_metric, belief_functions, stemmed_vocabulary,
@@ -314,6 +323,7 @@ def _metric(name: str, value: str, digits: int = 4) -> str:
 _PER = "judged AS (SELECT qid, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS num_rel FROM qrels GROUP BY qid), walked AS (SELECT r.qid, r.rank, j.num_rel, CASE WHEN q.rel > 0 THEN 1 ELSE 0 END AS hit, sum(CASE WHEN q.rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r.qid ORDER BY r.rank ROWS UNBOUNDED PRECEDING) AS hits FROM run r JOIN judged j ON j.qid = r.qid AND j.num_rel > 0 LEFT JOIN qrels q ON q.qid = r.qid AND q.doc_id = r.doc_id), per AS (SELECT qid, CAST(first(num_rel) AS BIGINT) AS num_rel, round(sum(CASE WHEN hit = 1 THEN CAST(hits AS DOUBLE) / rank ELSE 0.0 END) / first(num_rel), 6) AS map, round(CAST(sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS DOUBLE) / 5, 6) AS p5 FROM walked GROUP BY qid)"
 _STEM = tx.porter("term", _Text)
 ORACLES = {
+    "index_compact": sql("tf len", "gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY term UNION ALL SELECT 'TOTAL', CAST(sum(len) AS BIGINT), count(*) FROM lens WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
     "sgml_topics": _TOPICS,
     "doc_topics": _TOPICS,
     "xml_topics": _TOPICS,
