@@ -32,6 +32,8 @@ CELLS = 3
 BLOCK, HELD, FEW = 1024, 4_000_000, 256
 #: Shingles in the columns of one product.
 WIDTH = 4096
+#: Text bytes that are signed at once, and buckets of signatures a task meets one after another.
+SIGNED, BUCKETS = 2 * 1024 * 1024, 8
 #: Frequent shingles that every task knows.
 COMMON = 1 << 16
 
@@ -155,7 +157,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
     Equal sets of a slice sign once. Signatures that several sets of a slice share go out once, with the smallest id;
     the link to it travels as two rows under a signature of its own, so that no shared signature gathers many rows.
     """
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, most=SIGNED):
         ids = column(batch, "id").to_numpy()
         x, first = shingle_hashes(texts, n)
         size = np.diff(first)
@@ -191,14 +193,26 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: candidate links, one a shared signature, however many tasks there are; kind 1: a document and the smallest one with the same set; kind 2: sizes."""
+    """kind 0: candidate links, one a shared signature, however many tasks there are; kind 1: a document and the smallest one with the same set; kind 2: sizes.
+
+    Rows come sorted by bucket; one bucket is held at a time.
+    """
     kept: dict[bool, list] = {False: [], True: []}
+    now = None
     for batch in batches:
-        for sigs, ids, sizes, more in zip(*(column(batch, c).to_pylist() for c in ("sigs", "ids", "sizes", "more"))):
+        for bucket, sigs, ids, sizes, more in zip(*(column(batch, c).to_pylist() for c in ("bucket", "sigs", "ids", "sizes", "more"))):
+            if bucket != now and now is not None:
+                yield from _met(kept)
+                kept = {False: [], True: []}
+            now = bucket
             row = [np.frombuffer(sigs, np.uint64), np.frombuffer(ids, np.int64)]
             if sizes is not None:
                 row += [np.frombuffer(sizes, np.int64), np.frombuffer(more, np.uint64)]
             kept[sizes is not None].append(row)
+    yield from _met(kept)
+
+
+def _met(kept: dict[bool, list]) -> Iterator[pa.RecordBatch]:
     if kept[False]:
         sig, ids = (np.concatenate(c) for c in zip(*kept.pop(False)))
         order, _, pivot = _grouped(sig, ids)
@@ -308,8 +322,8 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     docs = one_row_an_id(docs)
     common = spark.sparkContext.broadcast(common_shingles(docs, n))  # COMMON numbers
-    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=8 * width, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
-    found = cut(arrow_map(signed.repartition(width, "bucket"), _meet, "kind int, a long, b long, n long"))
+    signed = arrow_map(docs, partial(_sign, n=n, num=num, den=den, buckets=BUCKETS * width, common=common), "bucket int, sigs binary, ids binary, sizes binary, more binary")
+    found = cut(arrow_map(signed.repartition(width, "bucket").sortWithinPartitions("bucket"), _meet, "kind int, a long, b long, n long"))
     same = found.where("kind = 1").select("a", "b")
     clusters = components(found.where("kind < 2").select("a", "b"))
     grown = same.groupBy(F.col("b").alias("id")).agg((F.count("*") + 1).alias("copies"))
