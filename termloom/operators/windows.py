@@ -36,9 +36,11 @@ def _parts(index: Index, exprs: DataFrame) -> DataFrame:
     rare = asked.frame.join(df, "term", "left").groupBy("expr_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rare"))
     held = asked.restrict(index.postings(), "term")
     visits = held.select(F.col("term").alias("rare"), "doc_id").join(exprs.join(rare, "expr_id"), "rare").drop("rare")
-    docs = held.groupBy("doc_id").agg(F.first("len").alias("len"), F.collect_list(F.struct("term", "positions")).alias("at"))
-    at = F.transform("terms", lambda t: F.get(F.filter("at", lambda x: x["term"] == t), F.lit(0))["positions"])
-    return visits.join(docs, "doc_id").select("expr_id", "doc_id", "len", at.alias("begins")).where(F.forall("begins", lambda p: p.isNotNull()))
+    # dealt by document once: a document has one entry a term, also where its id is repeated
+    entries = held.select("doc_id", "len", "term", "positions").repartition("doc_id").dropDuplicates(["doc_id", "term"])
+    docs = entries.groupBy("doc_id").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    found = F.transform("terms", lambda t: F.try_element_at("at", t))
+    return visits.join(docs, "doc_id").select("expr_id", "doc_id", "len", found.alias("begins")).where(F.forall("begins", lambda p: p.isNotNull()))
 
 
 def _ordered(begins: list, ends: list, rows: list, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
