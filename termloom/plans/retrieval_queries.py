@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.functions import text as tx
 from termloom.operators import analytics, evaluate, features, graph, index, query, rank, tune, windows
 from termloom.operators.settle import settled
 from termloom.plans.collection import _BELIEF, SQL, collection, edges, full_run, judgments, kept, sql, table, title_leaves, title_run, topic_edges, topic_terms
