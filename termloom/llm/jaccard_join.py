@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, drop_cut, hash_words, mix, one_row_an_id, runs, slices, small, split_words
+from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, slices, small, split_words
 from termloom.llm.components import components, forest
 
 #: Cells of a partition; subsets leave out one of them.
