@@ -764,7 +764,7 @@ def test_surrogates_of_null_and_repeated_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (8, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r.doc_id, r.text) for r in surrogates.surrogate_texts(docs, "key").collect())
-    alone = {t: surrogates.surrogate_texts(spark.createDataFrame([(1, t)], "doc_id long, text string"), "key").first().text for t in texts}
+    alone = {texts[r.doc_id]: r.text for r in surrogates.surrogate_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
     assert got == Counter((i, alone[t]) for i, t in rows) and all(alone[t] != t for t in texts[:3])
 
 
