@@ -2,14 +2,12 @@
 
 A document is the set of its distinct n-word shingles. Set sizes are cut into bands, band i being [l, l / similarity].
 For sets of two neighbouring bands that reach the similarity the Hamming distance is at most k. Every pair of neighbouring
-bands hashes the feature domain into n1 + m partitions of CELLS cells, n1 = k // 2 + 1 and m half of that. Sets within
-distance k differ by two features or more in n1 - 1 partitions at most, so in m + 1 partitions at least they differ by one
-feature or none; that feature lies in one cell, and they agree in the subset of the other cells. All subsets that leave
-out one cell are enumerated, and a set signs with all but its m least telling subsets. Of the m + 1 or more that two such
-sets share, the most telling one stands above m others in both, so both sign with it. A subset tells as much as it holds
-shingles that are not among the most frequent; subsets without any, which unrelated sets share, are so left out. Documents
-that share signatures form candidate clusters; each cluster is verified exactly, block against block, and only links that
-reach the similarity count.
+bands hashes the feature domain into n1 = k + 1 + m partitions, m half of k + 1, and the subsets enumerated are single
+partitions: sets within distance k agree in m + 1 partitions at least. A set signs with its k + 1 most telling partitions
+only. Of the m + 1 that two such sets share, the most telling one stands above m others in both, so both sign with it.
+A partition tells as much as it holds shingles that are not among the most frequent; partitions without any, which
+unrelated sets share, are so left out. Documents that share signatures form candidate clusters; each cluster is verified
+exactly, block against block, and only links that reach the similarity count.
 """
 
 from __future__ import annotations
@@ -26,14 +24,12 @@ from pyspark.sql import functions as F
 from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, slices, small, split_words
 from termloom.llm.components import components, forest
 
-#: Cells of a partition; subsets leave out one of them.
-CELLS = 3
 #: Documents, and shingles, of a cluster that are compared as one block at most; clusters of less are dealt out in blocks of FEW or more.
 BLOCK, HELD, FEW = 1024, 4_000_000, 256
 #: Shingles in the columns of one product.
 WIDTH = 4096
-#: Text bytes that are signed at once, and buckets of signatures a task meets one after another.
-SIGNED, BUCKETS = 2 * 1024 * 1024, 8
+#: Buckets of signatures that a task meets one after another.
+BUCKETS = 8
 #: Frequent shingles that every task knows.
 COMMON = 1 << 16
 
@@ -92,32 +88,19 @@ def signatures(x: np.ndarray, first: np.ndarray, num: int, den: int, common: np.
     out, sets = [], []
     for instance in (band, band + 1):
         need = (den - num) * 2 * ends[instance] // (den + num) + 1
-        # k = need - 1; equal sets alone are similar where k is 0, so that one whole partition tells all
-        least = (need + 1) // 2
-        spare = np.where(need > 1, (least + 1) // 2, 0)
-        cells = np.where(need > 1, (least + spare) * CELLS, 1)
-        base = np.concatenate([[0], np.cumsum(cells)])
+        parts = need + need // 2
+        base = np.concatenate([[0], np.cumsum(parts)])
         seed = mix(instance.astype(np.uint64) * ODD + np.uint64(1))
-        cell = base[owner] + (mix(x ^ seed[owner]) % cells.astype(np.uint64)[owner]).astype(np.int64)
+        cell = base[owner] + (mix(x ^ seed[owner]) % parts.astype(np.uint64)[owner]).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, cell, mix(x + ODD))
-        weight = np.bincount(cell, weights=telling, minlength=base[-1])
-        row = np.repeat(np.arange(len(full)), cells)
+        row = np.repeat(np.arange(len(full)), parts)
         place = np.arange(len(row)) - base[row]
-        one = mix(sums + mix(seed[row] + place.astype(np.uint64) * ODD))
-        # a subset is named by the cell that it leaves out: sums over the partition less that cell
-        whole, held = one.copy(), weight.copy()
-        many = np.flatnonzero(cells[row] > 1)
-        first = many[::CELLS]
-        total, tells = one[first].copy(), weight[first].copy()
-        for c in range(1, CELLS):
-            total, tells = total + one[first + c], tells + weight[first + c]
-        whole[many] = mix(np.repeat(total, CELLS) - one[many] + place[many].astype(np.uint64))
-        held[many] = np.repeat(tells, CELLS) - weight[many]
-        rank = held * 4096 + (mix(whole) >> np.uint64(52)).astype(np.float64)
-        order = np.lexsort((-rank, row))
-        best = order[np.arange(len(order)) - base[row[order]] < (cells - spare)[row[order]]]
-        out.append(whole[best])
+        sig = mix(sums + mix(seed[row] + place.astype(np.uint64) * ODD))
+        weight = np.bincount(cell, weights=telling, minlength=base[-1]) * 4096 + (mix(sig) >> np.uint64(52)).astype(np.float64)
+        order = np.lexsort((-weight, row))
+        best = order[np.arange(len(order)) - base[row[order]] < need[row[order]]]
+        out.append(sig[best])
         sets.append(full[row[best]])
     return np.concatenate(out), np.concatenate(sets)
 
@@ -157,7 +140,7 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
     Equal sets of a slice sign once. Signatures that several sets of a slice share go out once, with the smallest id;
     the link to it travels as two rows under a signature of its own, so that no shared signature gathers many rows.
     """
-    for batch, texts in slices(batches, most=SIGNED):
+    for batch, texts in slices(batches):
         ids = column(batch, "id").to_numpy()
         x, first = shingle_hashes(texts, n)
         size = np.diff(first)
@@ -193,9 +176,10 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, buckets
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: candidate links, one a shared signature, however many tasks there are; kind 1: a document and the smallest one with the same set; kind 2: sizes.
+    """kind 0: candidate links, folded; kind 1: a document and the smallest one with the same set; kind 2: sizes.
 
-    Rows come sorted by bucket; one bucket is held at a time.
+    Rows come sorted by bucket; one bucket is held at a time. Buckets outnumber a document's signatures, so that its links
+    are about as many as its shared signatures, however many tasks there are.
     """
     kept: dict[bool, list] = {False: [], True: []}
     now = None
@@ -218,7 +202,7 @@ def _met(kept: dict[bool, list]) -> Iterator[pa.RecordBatch]:
         order, _, pivot = _grouped(sig, ids)
         ids = ids[order]
         apart = ids != pivot
-        a, b = ids[apart], pivot[apart]
+        a, b = forest(ids[apart], pivot[apart])
         yield batch_of(_FOUND, np.zeros(len(a), np.int32), a, b, np.zeros(len(a), np.int64))
     if kept[True]:
         h1, ids, size, h2 = (np.concatenate(c) for c in zip(*kept.pop(True)))
