@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Text bytes that a kernel works on at once.
 CHUNK_BYTES = 4 * 1024 * 1024
+#: Bits of a sieve, however many ids it stands for.
+SIEVE = 1 << 23
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +71,24 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def sifted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose key may be among ids(id), and those whose key is not.
+
+    The ids' hashes go out as a set of SIEVE bits, so that the driver holds SIEVE / 64 rows at most; what may be among the ids
+    is for a shuffled join to tell, which moves few other rows.
+    """
+
+    def place(column):
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(SIEVE).cast("long"))
+
+    places = ids.select(place(F.col("id")).alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    words = F.broadcast(places.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    own = place(df[key])
+    bit = F.call_function("shiftright", words["bits"], own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    there = (F.shiftright(own, 6) == words["word"]) & (bit == 1)
+    return df.join(words, there, "left_semi"), df.join(words, there, "left_anti")
+
+
 def one_row_an_id(docs: DataFrame) -> DataFrame:
     """docs(id, text) with one row an id: of rows that repeat an id the one of the smallest text, null first. Only those rows are shuffled."""
     again = docs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")

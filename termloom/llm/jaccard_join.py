@@ -13,7 +13,7 @@ exactly, block against block, and only links that reach the similarity count.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, slices, small, split_words
+from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, sifted, slices, small, split_words
 from termloom.llm.components import components, forest
 
 #: Documents, and shingles, of a cluster that are compared as one block at most; clusters of less are dealt out in blocks of FEW or more.
@@ -318,19 +318,25 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     # as few blocks as hold a cluster; up to so many that their pairs are a task each, while they keep FEW documents
     spread = F.least(F.ceil(F.col("rows") / F.lit(FEW)), F.lit(int(np.ceil(np.sqrt(2 * width)))))
     blocks = cut(sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(HELD)), spread).cast("long").alias("blocks")))
-    members = cut(leads.join(small(blocks, 24), "cluster"))
-    dealt = arrow_map(docs.join(small(members, 40), "id"), partial(_deal, n=n), "cluster long, i long, j long, block long, id long, copies long, shingles binary")
+    members = cut(leads.join(blocks, "cluster"))
+    maybe, _ = sifted(docs, "id", members)
+    dealt = arrow_map(maybe.join(members, "id").select("id", "text", "cluster", "blocks", "copies"), partial(_deal, n=n), "cluster long, i long, j long, block long, id long, copies long, shingles binary")
     checked = cut(arrow_map(dealt.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), partial(_verify, num=num, den=den), "a long, b long, links long"))
     roots = cut(components(checked.where("b is not null").select("a", "b").union(same)))
     degree = checked.where("b is null").groupBy(F.col("a").alias("lead")).agg(F.sum("links").alias("near"))
     copies = leads.where("copies > 1").select(F.col("id").alias("lead"), (F.col("copies") - 1).alias("same"))
     counts = cut(degree.join(copies, "lead", "full").select("lead", (F.coalesce("near", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("n_links")))
-    sizes = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
+    # what is known of an id meets by shuffle: these tables grow with the documents, so none of them is broadcast
+    facts = (
+        found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles")),
+        roots.select(F.col("node").alias("doc_id"), "root"),
+        counts.select(F.col("lead").alias("doc_id"), "n_links"),
+        same.join(counts, same["b"] == counts["lead"]).select(F.col("a").alias("doc_id"), "n_links"),
+    )
     return (
-        sizes.join(small(same.select(F.col("a").alias("doc_id"), F.col("b").alias("lead")), 32), "doc_id", "left")
-        .withColumn("lead", F.coalesce("lead", "doc_id"))
-        .join(small(counts, 32), "lead", "left")
-        .join(small(roots.select(F.col("node").alias("doc_id"), "root"), 32), "doc_id", "left")
+        reduce(partial(DataFrame.unionByName, allowMissingColumns=True), facts)
+        .groupBy("doc_id")
+        .agg(F.max("n_shingles").alias("n_shingles"), F.max("root").alias("root"), F.max("n_links").alias("n_links"))
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 

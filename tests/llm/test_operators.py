@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import cascade, context_tree, decontaminate, jaccard_join, language_id, licenses, packing, quality, site_style, surrogates
+from termloom.llm import cascade, common, context_tree, decontaminate, jaccard_join, language_id, licenses, packing, quality, site_style, surrogates
 from termloom.llm.components import components
 from termloom.llm.queries import tokenizer_path
 
@@ -824,3 +824,30 @@ def test_text_outside_a_teaser(spark):
     rows = [(k, f"https://host.example/{k}", f'<body class="has-sidebar"><div class="layout no-sidebar"><div class="nav">menu</div><div class="story">{t}</div><article class="legal-notice"><p>teaser {k}</p></article></div></body>') for k, t in enumerate(own)]
     got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"{t}\nteaser {k}" for k, t in enumerate(own)}
+
+
+def broadcast_joins(spark, make, monkeypatch):
+    """The joins of all plans behind make() that a hint tells to broadcast a side."""
+    plans, cut = [], common.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(jaccard_join, "cut", seen)
+    plans.append(make()._jdf.queryExecution().optimizedPlan().toString())
+    return [line for plan in plans for line in plan.splitlines() if "strategy=broadcast" in line]
+
+
+def test_jaccard_join_broadcasts_no_table_that_grows(spark, texts, monkeypatch):
+    """Ids of members, copies, roots and counts are as many as documents; only a sieve of bounded size goes to the driver."""
+    found = broadcast_joins(spark, lambda: jaccard_join.shingle_join(frame(spark, texts), 3, 90, 100), monkeypatch)
+    assert found and all("bits#" in line for line in found)
+
+
+@pytest.mark.parametrize("bits", [64, 256])
+def test_jaccard_join_with_a_full_sieve(spark, texts, bits, monkeypatch):
+    """A sieve that holds nothing back changes no link."""
+    monkeypatch.setattr(common, "SIEVE", bits)
+    got = {r[0]: tuple(r[1:]) for r in jaccard_join.shingle_join(frame(spark, texts).repartition(3), 3, 90, 100).collect()}
+    assert got == components_by_loop(texts, 3, 90, 100)
