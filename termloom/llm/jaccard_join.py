@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, sifted, slices, small, split_words
+from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, sifted, slices, split_words
 from termloom.llm.components import components, forest
 
 #: Documents, and shingles, of a cluster that are compared as one block at most; clusters of less are dealt out in blocks of FEW or more.
@@ -344,5 +344,6 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose component has a smaller id; rows with a null id stay."""
     classes = shingle_join(docs, n, num, den, id_col, text_col)
-    again = small(cut(classes.where("component_id <> doc_id").select("doc_id")), 16)
-    return docs.join(again, docs[id_col].cast("long") == again["doc_id"], "left_anti")
+    again = cut(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("id")))
+    maybe, rest = sifted(docs, id_col, again)
+    return rest.union(maybe.join(again, maybe[id_col].cast("long") == again["id"], "left_anti"))

@@ -851,3 +851,15 @@ def test_jaccard_join_with_a_full_sieve(spark, texts, bits, monkeypatch):
     monkeypatch.setattr(common, "SIEVE", bits)
     got = {r[0]: tuple(r[1:]) for r in jaccard_join.shingle_join(frame(spark, texts).repartition(3), 3, 90, 100).collect()}
     assert got == components_by_loop(texts, 3, 90, 100)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_jaccard_join_keeps_one_without_a_broadcast_of_ids(spark, texts, bits, monkeypatch):
+    """Only the sieve is broadcast; rows are the same when it holds nothing back, null ids included."""
+    monkeypatch.setattr(common, "SIEVE", bits)
+    docs = frame(spark, texts).union(spark.createDataFrame([(None, texts[0], "en", None, None, 7, "x", "y")], DOCS))
+    kept = jaccard_join.one_of_each(docs, 3, 90, 100)
+    assert [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is None] == [None]
+    assert kept.count() == 1 + sum(c == i for i, (_, c, _) in components_by_loop(texts, 3, 90, 100).items())
+    found = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=broadcast" in line]
+    assert found and all("bits#" in line for line in found)
