@@ -302,6 +302,28 @@ def test_tree_against_dictionaries():
     assert context_tree.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
 
 
+def test_scores_by_the_whole_tree(spark, texts, monkeypatch):
+    """Every text gets what the tree of all training texts gives, however few sequences the tasks hold and requests are answered at once."""
+    docs = frame(spark, texts).repartition(3)
+    want = tree_by_loop([lowered(t).encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], context_tree.DEPTH)
+    want = {i: want(lowered(t).encode()) for i, t in enumerate(texts)}
+    frequent = context_tree.kept_sequences
+    for held, asked, dealt in ((40, 100, 50), (0, 1, 1 << 18), (0, 1 << 20, 1), (1 << 20, 1 << 20, 1 << 18)):
+        monkeypatch.setattr(context_tree, "kept_sequences", lambda counted, *rest, most=held: frequent(counted, most, *rest[1:]))
+        monkeypatch.setattr(context_tree, "ASKED", asked, raising=False)
+        monkeypatch.setattr(context_tree, "SHARD", dealt, raising=False)
+        got = {r.doc_id: r.score for r in context_tree.context_tree_scores(docs).collect()}
+        assert got == pytest.approx(want, rel=1e-5), held
+
+
+def test_scores_without_training_texts(spark):
+    """All estimates are uniform: eight even decisions a byte and end mark."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = spark.createDataFrame([(i, "ab" * k) for k, i in enumerate(held)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.n_known) for r in context_tree.context_tree_scores(docs).collect()}
+    assert got == {i: (pytest.approx(-8 * math.log10(2) * (2 * k + 1), rel=1e-5), 0) for k, i in enumerate(held)}
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     texts, labels = [], []
