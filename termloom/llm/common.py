@@ -71,6 +71,12 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side that a join sorts and shuffles. Without the hint Spark broadcasts a written table of under 10 MB of parquet,
+    which packed ids make millions of rows and a multiple of that in the driver, several at once."""
+    return df.hint("merge")
+
+
 def sifted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df's rows whose key may be among ids(id), and those whose key is not.
 
@@ -95,9 +101,9 @@ def one_row_an_id(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return docs
     again = cut(again)
-    again = small(again, 16)
-    some = docs.join(again, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text")).alias("s")).select("id", "s.text")
-    return docs.join(again, "id", "left_anti").unionByName(some)
+    maybe, rest = sifted(docs, "id", again)
+    some = maybe.join(shuffled(again), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text")).alias("s")).select("id", "s.text")
+    return rest.unionByName(maybe.join(shuffled(again), "id", "left_anti")).unionByName(some)
 
 
 def crc_fold(column: str, folds: int):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, batch_of, column, cut, drop_cut
+from termloom.llm.common import arrow_map, batch_of, column, cut, drop_cut, shuffled
 
 #: Links that a task folds at once.
 FOLD_ROWS = 1_000_000
@@ -70,9 +70,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # links hang on roots, whose rows stay as they are; only other ends look up theirs, salted
         moved = least.where("m < u").select(F.col("u").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        large = now.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS))).join(moved, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = now.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS))).join(shuffled(moved), ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_star = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        small_star = large.join(shuffled(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = cut(arrow_map(small_star.distinct(), _fold, "a long, b long"))
         before, now = now, after
         drop_cut(before)

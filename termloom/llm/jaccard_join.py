@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, sifted, slices, split_words
+from termloom.llm.common import ODD, arrow_map, batch_of, column, cut, hash_words, mix, one_row_an_id, runs, shuffled, sifted, slices, split_words
 from termloom.llm.components import components, forest
 
 #: Documents, and shingles, of a cluster that are compared as one block at most; clusters of less are dealt out in blocks of FEW or more.
@@ -311,27 +311,27 @@ def shingle_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     same = found.where("kind = 1").select("a", "b")
     clusters = components(found.where("kind < 2").select("a", "b"))
     grown = same.groupBy(F.col("b").alias("id")).agg((F.count("*") + 1).alias("copies"))
-    leads = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(same.select(F.col("a").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", "cluster", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    leads = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(shuffled(same.select(F.col("a").alias("id"))), "id", "left_anti").join(shuffled(grown), "id", "left").select("id", "cluster", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     leads = cut(leads)
     sets = found.where("kind = 2").select(F.col("a").alias("id"), F.col("n").alias("held"))
-    sizes = leads.join(sets, "id").groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).where("rows > 1")
+    sizes = leads.join(shuffled(sets), "id").groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("held").alias("held")).where("rows > 1")
     # as few blocks as hold a cluster; up to so many that their pairs are a task each, while they keep FEW documents
     spread = F.least(F.ceil(F.col("rows") / F.lit(FEW)), F.lit(int(np.ceil(np.sqrt(2 * width)))))
     blocks = cut(sizes.select("cluster", F.greatest(F.ceil(F.col("rows") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(HELD)), spread).cast("long").alias("blocks")))
-    members = cut(leads.join(blocks, "cluster"))
+    members = cut(leads.join(shuffled(blocks), "cluster"))
     maybe, _ = sifted(docs, "id", members)
-    dealt = arrow_map(maybe.join(members, "id").select("id", "text", "cluster", "blocks", "copies"), partial(_deal, n=n), "cluster long, i long, j long, block long, id long, copies long, shingles binary")
+    dealt = arrow_map(maybe.join(shuffled(members), "id").select("id", "text", "cluster", "blocks", "copies"), partial(_deal, n=n), "cluster long, i long, j long, block long, id long, copies long, shingles binary")
     checked = cut(arrow_map(dealt.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), partial(_verify, num=num, den=den), "a long, b long, links long"))
     roots = cut(components(checked.where("b is not null").select("a", "b").union(same)))
     degree = checked.where("b is null").groupBy(F.col("a").alias("lead")).agg(F.sum("links").alias("near"))
     copies = leads.where("copies > 1").select(F.col("id").alias("lead"), (F.col("copies") - 1).alias("same"))
-    counts = cut(degree.join(copies, "lead", "full").select("lead", (F.coalesce("near", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("n_links")))
+    counts = cut(degree.join(shuffled(copies), "lead", "full").select("lead", (F.coalesce("near", F.lit(0)) + F.coalesce("same", F.lit(0))).alias("n_links")))
     # what is known of an id meets by shuffle: these tables grow with the documents, so none of them is broadcast
     facts = (
         found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles")),
         roots.select(F.col("node").alias("doc_id"), "root"),
         counts.select(F.col("lead").alias("doc_id"), "n_links"),
-        same.join(counts, same["b"] == counts["lead"]).select(F.col("a").alias("doc_id"), "n_links"),
+        same.join(shuffled(counts), same["b"] == counts["lead"]).select(F.col("a").alias("doc_id"), "n_links"),
     )
     return (
         reduce(partial(DataFrame.unionByName, allowMissingColumns=True), facts)
@@ -346,4 +346,4 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     classes = shingle_join(docs, n, num, den, id_col, text_col)
     again = cut(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("id")))
     maybe, rest = sifted(docs, id_col, again)
-    return rest.union(maybe.join(again, maybe[id_col].cast("long") == again["id"], "left_anti"))
+    return rest.union(maybe.join(shuffled(again), maybe[id_col].cast("long") == again["id"], "left_anti"))

@@ -885,3 +885,19 @@ def test_jaccard_join_keeps_one_without_a_broadcast_of_ids(spark, texts, bits, m
     assert kept.count() == 1 + sum(c == i for i, (_, c, _) in components_by_loop(texts, 3, 90, 100).items())
     found = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=broadcast" in line]
     assert found and all("bits#" in line for line in found)
+
+
+def test_jaccard_join_broadcasts_no_small_file(spark, texts, monkeypatch):
+    """Written tables of under 10 MB are broadcast by no plan of their own: only the sieve goes to the driver, with repeated ids too."""
+    plans, cut = [], common.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for module in ("common", "components", "jaccard_join"):
+        monkeypatch.setattr(f"termloom.llm.{module}.cut", seen)
+    docs = frame(spark, texts).union(frame(spark, texts[:3]))
+    plans.append(jaccard_join.one_of_each(docs, 3, 90, 100)._jdf.queryExecution().executedPlan().toString())
+    found = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert found and all("word#" in line for line in found)
