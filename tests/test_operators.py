@@ -358,3 +358,27 @@ def test_empty_collection(spark):
     ix = index.build(spark.createDataFrame([], "doc_id long, text string"))
     assert ix.vocabulary().count() == 0 and index.repository_stats(ix).first() == (0, 0, 0)
     assert rank.rank(ix, query.leaves(spark, {"q": "a"})).count() == 0
+
+
+@pytest.mark.parametrize("cell, sources, batch", [(1 << 24, 4096, 10000), (6, 2, 3)])
+def test_association_deals_no_pair(spark, cell, sources, batch, monkeypatch):
+    """The best edges of a loop over documents, for cells of any size; documents meet no document by id, so that no pair is a row."""
+    monkeypatch.setattr(graph, "CELL", cell, raising=False)
+    monkeypatch.setattr(graph, "SOURCES", sources, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["alpha", "bravo", "delta", "gamma", "omega", "sigma", "kappa", "pi", "theta"]) for _ in range(5)) for _ in range(60)]
+    ix = index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = graph.association(ix, spark.createDataFrame([("alpha",), ("bravo",), ("pi",), ("none",), ("theta",)], "term string"), 3, 5, 0.7, 4)
+    got = rows(found)
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "doc_id" in line]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {}
+    for k, t in enumerate(texts):
+        for w in t.split():
+            held.setdefault(w, set()).add(k)
+    want = []
+    for a in ("alpha", "bravo", "pi", "theta"):
+        ends = [(-round(math.log(len(held[a] & held[b]) * 60 / (len(held[a]) * len(held[b]))), 6), b, len(held[a] & held[b])) for b in held if b != a and len(b) > 3 and len(held[a] & held[b]) > 2]
+        want += [(a, b, n, -w) for w, b, n in sorted(ends)[:4]]
+    assert got == sorted(want)
