@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import beliefs
 from termloom.functions import text as tx
-from termloom.operators import analytics, evaluate, features, graph, index, query, rank, tune, windows
+from termloom.operators import analytics, evaluate, features, graph, index, query, rank, settle, tune, windows
 from termloom.operators.settle import Side, restricted
 from termloom.sources import formats
 
@@ -399,3 +399,33 @@ def test_stored_index_builds_what_is_asked_for(spark, tmp_path):
         where.setdefault(r.file, []).append(r)
     assert all([r.term for r in held] == sorted(r.term for r in held) for held in where.values())
     assert len(where) > 1 and sum(len({r.doc_id for r in held}) for held in where.values()) == 40
+
+
+@pytest.fixture(scope="module")
+def drawn_index(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(12))) for _ in range(150)]
+    return index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
+@pytest.mark.parametrize("kind", ["ordered_window", "unordered_window", "whole_document"])
+def test_windows_meet_where_documents_are_read(spark, drawn_index, kind, monkeypatch):
+    """No places are shuffled; expressions too many to be told to every task give the same matches by a shuffle."""
+    exprs = spark.createDataFrame([("ab", ["a", "b"]), ("aba", ["a", "b", "a"]), ("cdz", ["c", "z"]), ("c", ["c"])], "expr_id string, terms array<string>")
+    find = lambda: getattr(windows, kind)(drawn_index, exprs, *([] if kind == "whole_document" else [4]))
+    found = find()
+    assert not re.search(r"\b(Join|Aggregate)\b", found._jdf.queryExecution().optimizedPlan().toString())
+    got = rows(found)
+    assert len({r[0] for r in got}) == 3
+    monkeypatch.setattr(settle, "LOCAL_ROWS", 1)
+    assert rows(find()) == got
+
+
+def test_ranks_where_documents_are_read(spark, drawn_index, monkeypatch):
+    """A task passes on its best documents only: no row a match is shuffled, and ranks are those of all scores."""
+    leaves = query.term_leaves(spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "zz"), ("2", "c"), ("2", "c"), (None, "d")], "qid string, term string"), F.lit(0.5))
+    monkeypatch.setattr(rank, "POOL", 5)
+    for smoothing in (rank.Smoothing(), rank.Smoothing(2500.0, 0.4)):
+        found = rank.rank(drawn_index, leaves, 4, smoothing=smoothing)
+        assert not re.search(r"\b(Join|Aggregate)\b", found._jdf.queryExecution().optimizedPlan().toString())
+        assert rows(found, "qid", "doc_id", "score", "rank") == rows(rank.top(rank.scores(drawn_index, leaves, smoothing), 4), "qid", "doc_id", "score", "rank")
